@@ -6,8 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, warc
-from .common import shared_dir, table
+from . import bpe, chat, media, quality, toxicity, warc
+from .common import bucket_of, shared_dir, table
+
+
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(bucket_of(F.col("doc_id"), modulus) == remainder, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~_held_out(5, 0)))
+    return quality.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; learned from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels").where(~_held_out(3, 1)))
+    return toxicity.score(docs, machine).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +60,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
