@@ -92,6 +92,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return mix64(out + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of bytes other than ASCII white space) of texts laid end to end, with n+1 offsets.
+
+    Returns the bytes with A-Z lower-cased and a space before, between and after the texts; begin and end of each
+    word in these; and the number of its text. Byte p of text i is at p + i + 1.
+    """
+    n, lens = len(at) - 1, np.diff(at)
+    apart = np.full(len(data) + n + 1, 32, np.uint8)
+    apart[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), lens)] = _LOWER[data]
+    step = np.diff(_SPACE[apart].astype(np.int8))
+    begin, end = np.flatnonzero(step == -1) + 1, np.flatnonzero(step == 1) + 1
+    return apart, begin, end, np.searchsorted(at[1:] + np.arange(1, n + 1), begin, side="right")
+
+
 _POWERS = np.ones(1, np.uint64)
 
 

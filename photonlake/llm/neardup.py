@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_path, flat_utf8, materialise, mix64, shared_dir, slices, span_hashes
+from .common import arrow_map, flat_utf8, materialise, mix64, slices, span_hashes, split_words
 from .components import connected_components
 
 COORDS = 64
@@ -36,21 +36,12 @@ MARGIN = 0.35
 #: Of a node's leader: documents at CORE or more leave the node, as all that could link to them are at REACH or more.
 CORE, REACH = 0.85, 0.30
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _PROBES = (mix64(np.arange(1, COORDS * 256 + 1, dtype=np.uint64)) % np.uint64(COORDS)).astype(np.int64).reshape(COORDS, 256)
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts laid end to end: the hash of each word (A-Z lower-cased) and the number of its text."""
-    n, lens = len(at) - 1, np.diff(at)
-    apart = np.full(len(data) + n + 1, 32, np.uint8)  # a space goes between texts
-    apart[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), lens)] = _LOWER[data]
-    step = np.diff(_SPACE[apart].astype(np.int8))
-    begin, end = np.flatnonzero(step == -1) + 1, np.flatnonzero(step == 1) + 1
-    owner = np.searchsorted(at[1:] + np.arange(1, n + 1), begin, side="right")
+    apart, begin, end, owner = split_words(data, at)
     return span_hashes(apart, begin, end), owner
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, neardup, quality, toxicity, warc
+from . import bpe, chat, lines, media, neardup, quality, toxicity, warc
 from .common import bucket_of, shared_dir, table
 
 
@@ -59,6 +59,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(extra)))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later occurrences of repeated runs."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_lines": op8_lines,
     "op9_neardup": op9_neardup,
 }
 
