@@ -124,6 +124,16 @@ def power_table(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+def evaluated(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``df`` with the columns ``keep`` and new ones, each computed once a row.
+
+    Through a one-row generator: the optimiser would else copy an expression into every place that reads it, and
+    inside a lambda that is once for each element.
+    """
+    one = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_once")
+    return df.select(*keep, one).select(*keep, *(F.col(f"_once.{name}").alias(name) for name in columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 

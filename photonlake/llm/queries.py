@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, media, neardup, quality, toxicity, warc
+from . import bpe, chat, decontam, lines, media, neardup, quality, secrets, toxicity, warc
 from .common import bucket_of, shared_dir, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def _held_out(modulus: int, remainder: int):
     return F.coalesce(bucket_of(F.col("doc_id"), modulus) == remainder, F.lit(False))
 
@@ -69,7 +74,13 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten benchmark words in all documents."""
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
@@ -78,9 +89,36 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_lines": op8_lines,
     "op9_neardup": op9_neardup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
+    "op10_decontamination": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+          FROM documents
+        ), i AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+          FROM benchmark
+        ), iw AS (
+          SELECT DISTINCT item_id, least(10, len(ws)) AS l, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS g
+          FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)
+        ), ls AS (SELECT DISTINCT l FROM iw),
+        dw AS (
+          SELECT doc_id, l, p, array_to_string(ws[p:p + l - 1], ' ') AS g
+          FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS p FROM d, ls WHERE len(ws) >= l)
+        ), h AS (SELECT doc_id, dw.p, dw.l, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.l = iw.l),
+        n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM h) GROUP BY doc_id),
+        k AS (
+          SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
     "op9_neardup": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
