@@ -104,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     found = found.select(F.col("doc_id").alias("_hit_doc"), F.col("tk").alias("_hit_tk"), _hit_places(F.col("verified")).alias("_hit_at"))
     same = docs["doc_id"].eqNullSafe(F.col("_hit_doc")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_hit_tk"))
     if remove == "documents":
-        return docs.join(found, same, "left_anti")
+        return docs.hint("merge").join(found, same, "left_anti")
     gaps, words = F.split(docs["text"], WITHIN, -1), raw_words(docs["text"])
     kept = F.transform(words, lambda w, i: F.when(F.array_contains(F.col("_hit_at"), i), "").otherwise(F.concat(w, F.get(gaps, i + 1))))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))

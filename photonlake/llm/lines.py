@@ -222,11 +222,11 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return b"".join(out).decode(), len(begin)
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete later occurrences of runs of at least ``min_run`` words that occur earlier.
 
-    Takes ``doc_id`` (an integer) and ``text``; other columns are not read. Returns per row ``doc_id``, ``text``,
-    ``n_runs`` and ``n_deleted`` (words). "Earlier" is by doc_id, then by place in the text, so a run that a text
+    Takes ``doc_id`` (an integer) and ``text``; of other columns only those in ``keep`` are read. Returns per row
+    ``doc_id``, ``text``, ``n_runs`` and ``n_deleted`` (words), and the columns to keep as they are. "Earlier" is by doc_id, then by place in the text, so a run that a text
     repeats within itself is deleted there as well. Rows that repeat an id are one document and don't count as each
     other's repetitions; a null id takes no part and keeps its text; a null text stays null; empty texts stay
     empty; a text that is all repetition becomes empty. An empty table gives an empty result.
@@ -234,9 +234,12 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     One shuffle carries narrow fingerprint rows, at most one for each hash and piece of input: how often a line
     occurs changes nothing there. A second brings a document's runs to its text.
     """
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("_line_spans")).withColumnRenamed("doc", "_line_doc")
+    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
+    left = docs.select("doc_id", "text", *keep).hint("merge")
+    joined = left.join(spans, F.col("doc_id") == F.col("_line_doc"), "left").select("doc_id", "text", "_line_spans", *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"doc_id {kinds['doc_id']}, text string, n_runs bigint, n_deleted bigint" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batches):
         for batch in batches:
@@ -252,6 +255,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                             plain[i], _ = cut_words(plain[i], runs)
                             n_runs[i], n_deleted[i] = len(runs), sum(b - a for a, b in runs)
                     texts = pa.array(plain, pa.string())
-                yield pa.RecordBatch.from_arrays([piece.column(0), texts, pa.array(n_runs, pa.int64()), pa.array(n_deleted, pa.int64())], names=["doc_id", "text", "n_runs", "n_deleted"])
+                cols = [piece.column(0), texts, pa.array(n_runs, pa.int64()), pa.array(n_deleted, pa.int64()), *piece.columns[3:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_runs", "n_deleted", *keep])
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, text string, n_runs bigint, n_deleted bigint")
+    return joined.mapInArrow(run, schema)

@@ -421,3 +421,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, large: int =
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(classes, own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that :func:`near_duplicates` doesn't keep.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id, and texts without words, all stay.
+    """
+    found = near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    found = materialise(found)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
+    out = docs.hint("merge").join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if not found.where("kept and n > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    return out

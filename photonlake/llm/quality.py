@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flat_utf8, span_hashes
+from .common import arrow_map, flat_utf8, slices, span_hashes
 
 #: Buckets of hashed byte n-grams (two more are for the word n-grams); orders of the n-grams.
 HASHED = 1 << 16
@@ -203,3 +203,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {id_type}, score double, predicted int", "text")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more. One pass, no shuffle.
+
+    Null texts are scored as empty ones; null ids and repeated rows are rows like any other.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights, model.slope, model.shift))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        m = Model(*shared.value)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                good = m.score(m.margins(indicator_rows(*flat_utf8(piece.column(place))))) >= threshold
+                yield piece.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
