@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
-A record is a run of rows (``record``, ``chunk_no``, ``data``, ``payload_sha256``): the ``data`` of its chunks,
-in order, are the bytes of one WARC/1.1 record, header first. A chunk is bounded, so a payload of any size is
+A record is a run of rows (``record``, ``chunk_no``, ``last``, ``data``, ``payload_sha256``): the ``data`` of its
+chunks, in order, are the bytes of one WARC/1.1 record, header first. A chunk is bounded, so a payload of any size is
 written and read without a record-sized allocation in Python, and each row carries the digest of the payload
 up to and with that chunk. The table is written by Spark's committer, which outlives lost executors.
 """
@@ -20,7 +20,7 @@ CHUNK = 1 << 18
 FLUSH = 4 << 20
 #: Payloads below this size are never written as revisits.
 MIN_REVISIT = 100
-_NO_SHA = hashlib.sha256().hexdigest()
+SCHEMA = "record string, chunk_no bigint, last boolean, data binary, payload_sha256 string"
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -72,8 +72,8 @@ def to_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         def flushed():
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.binary(), pa.string()]
-            names = ["record", "chunk_no", "data", "payload_sha256"]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
+            names = ["record", "chunk_no", "last", "data", "payload_sha256"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -91,7 +91,7 @@ def to_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     at += len(piece)
                     done = at >= size
                     data = b"".join((data, piece, b"\r\n\r\n" if done else b""))
-                    rows.append((record, k, data, sha.hexdigest()))
+                    rows.append((record, k, done, data, sha.hexdigest()))
                     held += len(data)
                     if held >= FLUSH:
                         yield flushed()
@@ -103,18 +103,17 @@ def to_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield flushed()
 
     cols = ["page_id", "url", "payload", "digest", "refers_to"]
-    return planned.select(*cols).mapInArrow(run, "record string, chunk_no bigint, data binary, payload_sha256 string")
+    return planned.select(*cols).mapInArrow(run, SCHEMA)
 
 
 def read_chunks(chunks: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Read records back: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
 
-    The chunks of a record meet in order (a shuffle by record, as a file may be split inside one) and stream
-    through running digests. Of a response, length and digest are those of the bytes read; a digest that differs
+    A record of one chunk is read where it lies. The chunks of a longer one meet in order (a shuffle by record, as
+    a file may be split inside it) and stream through running digests. Of a response, length and digest are those of the bytes read; a digest that differs
     from the header's or from the running one of a chunk, a missing chunk or a wrong length fails the job. Of a
     revisit they are what its header says of the payload it stands for.
     """
-    ordered = chunks.select("record", "chunk_no", "data", "payload_sha256").repartition("record").sortWithinPartitions("record", "chunk_no")
     convert = str if id_type == "string" else int
     arrow_id = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(id_type, pa.int64())
 
@@ -166,7 +165,11 @@ def read_chunks(chunks: DataFrame, id_type: str = "bigint") -> DataFrame:
         if now:
             yield built([closed()])
 
-    return ordered.mapInArrow(run, f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}")
+    schema = f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}"
+    whole = F.col("last") & (F.col("chunk_no") == 0)
+    cols = ["record", "chunk_no", "data", "payload_sha256"]
+    longer = chunks.where(~whole).select(*cols).repartition("record").sortWithinPartitions("record", "chunk_no")
+    return chunks.where(whole).select(*cols).mapInArrow(run, schema).union(longer.mapInArrow(run, schema))
 
 
 def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, **columns) -> None:
@@ -175,10 +178,9 @@ def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, **columns) ->
     Null payloads are empty, null urls are left out, repeated rows make repeated records; an empty table makes
     an empty archive. Columns beside id, url and payload are not read. Ids can be of any integer or string type.
     """
-    to_chunks(plan_records(pages, **columns), chunk).write.mode("overwrite").parquet(path)
+    to_chunks(plan_records(pages, **columns), chunk).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_archive(spark, path: str, id_type: str = "bigint") -> DataFrame:
     """The records of the archive at ``path``; see :func:`read_chunks`."""
-    schema = "record string, chunk_no bigint, data binary, payload_sha256 string"
-    return read_chunks(spark.read.schema(schema).parquet(path), id_type)
+    return read_chunks(spark.read.schema(SCHEMA).parquet(path), id_type)
