@@ -23,7 +23,7 @@ GRAM, WINDOW = 3, 4
 #: Virtual lines before and after a fingerprint that a match can be extended over; the next fingerprint is nearer.
 REACH = 3
 #: Words of a match at least, and of a run that is deleted.
-MIN_MATCH, MIN_RUN = 16, 32
+MIN_MATCH, MIN_RUN = 8, 32
 #: Text bytes in which equal fingerprints are matched before anything is shuffled, so a hot one is sent once for each.
 LOCAL_BYTES = 16 << 20
 _BITS = np.uint64(21)
