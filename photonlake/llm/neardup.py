@@ -349,7 +349,8 @@ def _confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: i
     id_type = docs.schema["doc_id"].dataType.simpleString()
     weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).select(F.col("cluster").alias("c"), F.ceil(F.col("w") / block).cast("int").alias("blocks"))
     placed = members.join(weight, F.col("cluster") == F.col("c")).select("id", "k1", "k2", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(placed, F.col("doc_id") == F.col("id"))
+    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
+    texts = docs.select(F.col("doc_id"), F.col("text")).hint("merge").join(placed, F.col("doc_id") == F.col("id"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = texts.select("id", "text", "k1", "k2", "cluster", "own", other)
     met = met.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "text", "k1", "k2")
