@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialise, shared_dir
+
+__all__ = ["arrow_map", "bucket_of", "drop_path", "evaluated", "flat_utf8", "materialise", "mix64", "shared_dir", "slices", "span_hashes", "split_words", "table"]
+
 #: Text bytes that one numpy step of an operator handles at a time; larger Arrow batches are cut.
 STEP_BYTES = 4 << 20
-_SHARED = itertools.count()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,24 +136,6 @@ def evaluated(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, one).select(*keep, *(F.col(f"_once.{name}").alias(name) for name in columns))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (tests, a laptop) a folder in the warehouse directory takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    app = spark.sparkContext.applicationId
-    return f"{root.rstrip('/')}/photonlake-{app}-{next(_SHARED)}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm

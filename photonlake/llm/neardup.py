@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import arrow_map, flat_utf8, materialise, mix64, slices, span_hashes, split_words
-from .components import connected_components
 
 COORDS = 64
 TREES = 8

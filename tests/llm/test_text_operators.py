@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.llm import decontam, lines, neardup, secrets
-from photonlake.llm.components import connected_components
+from photonlake.operators.components import connected_components
 
 WORDS = [f"w{i}" for i in range(400)]
 DOC = "doc_id long, text string"
