@@ -110,13 +110,13 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
     A distributed sort: rows are dealt out by range and sorted there, and a table of one row a partition says how
     many come before. The sorted rows are written to the shared folder first, so a retried task can't renumber them.
     """
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_id", F.monotonically_increasing_id())
     laid = materialise(laid)
-    part = F.shiftright("_id", 33)
-    counts = laid.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = laid.join(F.broadcast(before), part == F.col("_p"))  # a row a partition
-    return out.withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_id", "_p", "_before")
+    part = F.shiftright("_place_id", 33)
+    counts = laid.groupBy(part.alias("_place_part")).agg(F.count("*").alias("_place_n"))
+    before = counts.select("_place_part", F.coalesce(F.sum("_place_n").over(Window.orderBy("_place_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_place_before"))
+    out = laid.join(F.broadcast(before), part == F.col("_place_part"))  # a row a partition
+    return out.withColumn(name, (F.col("_place_before") + F.col("_place_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_place_id", "_place_part", "_place_before")
 
 
 def group_adjacent(df: DataFrame, pos: str, group: str, key: str) -> DataFrame:
