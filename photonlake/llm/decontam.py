@@ -16,8 +16,8 @@ from .common import evaluated, materialise
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WITHIN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows that are broadcast at most (some 40 bytes each).
-MAX_BROADCAST = 1_000_000
+#: Windows that are broadcast at most (with their words some 300 bytes each, so 60 MB).
+MAX_BROADCAST = 200_000
 
 
 def raw_words(text: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flat_utf8, slices, span_hashes
+from .common import arrow_map, flat_utf8, slices, span_hashes, split_words
 
 #: Buckets of hashed byte n-grams (two more are for the word n-grams); orders of the n-grams.
 HASHED = 1 << 16
@@ -29,10 +29,6 @@ POWER = 0.35
 MAX_TRAIN_ROWS = 6000
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
 def ngram_buckets(data: np.ndarray) -> np.ndarray:
     """The bucket of every byte n-gram at every place of a text's bytes."""
     out, code = [], np.zeros(len(data), np.uint32)
@@ -47,16 +43,13 @@ def ngram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def repeats(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For texts laid end to end (n+1 offsets): whether "a a" and "a a a" occur in each, as two columns."""
+    """For texts laid end to end (n+1 offsets): whether "a a" and "a a a" occur in each (A-Z lower-cased), as two columns."""
     n = len(at) - 1
-    edge = np.ones(len(data) + 2, np.int8)
-    edge[1:-1] = _SPACE[data]
-    begin, end = np.flatnonzero(np.diff(edge) == -1), np.flatnonzero(np.diff(edge) == 1)
-    owner = np.searchsorted(at, begin, side="right") - 1
+    apart, begin, end, owner = split_words(data, at)
     same = np.zeros(len(begin) + 1, bool)
     if len(begin) > 1:
-        h = span_hashes(data, begin, end)
-        same[1:-1] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]) & (np.searchsorted(at, end[1:] - 1, side="right") - 1 == owner[1:])
+        h = span_hashes(apart, begin, end)
+        same[1:-1] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     out = np.zeros((n, 2), bool)
     out[owner[same[:-1]], 0] = True
     out[owner[same[:-1] & np.append(False, same[:-2])], 1] = True
