@@ -26,7 +26,7 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     """8-bit luma of an (h, w, 3) raster; a grey raster is its own."""
     if rgb.ndim == 2:
         return rgb
-    return np.clip(np.round(rgb[..., :3].astype(np.float64) @ np.array(LUMA)), 0, 255).astype(np.uint8)
+    return np.clip(np.round(rgb[..., :3].astype(np.float32) @ np.array(LUMA, np.float32)), 0, 255).astype(np.uint8)
 
 
 def orient(raster: np.ndarray, orientation: int | None) -> np.ndarray:
@@ -68,7 +68,7 @@ def shrink(raster: np.ndarray, longest: int) -> np.ndarray:
 
 def laplacian(gray: np.ndarray) -> np.ndarray:
     """Four neighbours minus four times the pixel, on interior pixels."""
-    g = gray.astype(np.int64)
+    g = gray.astype(np.int32)
     return g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
 
 
@@ -95,11 +95,11 @@ def compute_blur(gray: np.ndarray, bokeh: bool = False, shake: bool = False, til
     if w < 3 or h < 3:
         return out
     lap = laplacian(gray)
-    down, across = -(-h // tile), -(-w // tile)
-    cell = ((np.arange(1, h - 1) // tile)[:, None] * across + np.arange(1, w - 1) // tile).ravel()
-    flat = lap.ravel().astype(np.float64)
-    n = np.bincount(cell, minlength=down * across)
-    s, q = np.bincount(cell, flat, down * across), np.bincount(cell, flat * flat, down * across)
+    rows, cols = (np.maximum(np.arange(0, size - 1, tile), 1) - 1 for size in (h, w))
+    down, across = len(rows), len(cols)
+    per_tile = lambda v: np.add.reduceat(np.add.reduceat(v, rows, axis=0, dtype=np.int64), cols, axis=1).ravel()
+    n = np.outer(np.diff(np.append(rows, h - 2)), np.diff(np.append(cols, w - 2))).ravel()
+    s, q = per_tile(lap).astype(np.float64), per_tile(lap * lap).astype(np.float64)
     total = n.sum()
     overall = q.sum() / total - (s.sum() / total) ** 2
     out["laplacian_variance"] = float(overall)

@@ -27,7 +27,7 @@ VIEW = {
     "focus_verdict": "CASE WHEN k % 17 = 0 THEN NULL WHEN event_type = 'view' THEN 'BackFocus' WHEN event_type = 'purchase' THEN CASE WHEN k % 3 = 0 THEN 'AllBlurry' WHEN k % 3 = 1 THEN 'SubjectBlurry' ELSE 'SubjectSharp' END END",
     "mean_luminance": "CASE WHEN k % 17 <> 0 THEN k / 9.9e1 END",
     "pct_underexposed": "CASE WHEN k % 17 <> 0 THEN k / 1.5e2 END",
-    "pct_overexposed": "CASE WHEN k % 17 <> 0 THEN (99 - k) / 1.5e2 END",
+    "pct_overexposed": "CASE WHEN k % 17 <> 0 THEN (99 - k) / CASE WHEN k % 4 = 0 THEN 1.5e2 ELSE 3e2 END END",
     "has_closed_eyes": "CASE WHEN k % 17 <> 0 THEN event_type = 'signup' AND k % 2 = 0 END",
     "duplicate_group_id": "CASE WHEN k % 4 = 0 THEN 'dup-' || CAST(CAST(floor(event_id / 7e0) AS BIGINT) AS STRING) END",
     "scene_group_id": "CASE WHEN k % 3 <> 0 THEN 'scene-' || CAST(CAST(floor(event_id / 3e0) AS BIGINT) AS STRING) END",
