@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +24,26 @@ WORK_SIZE, THUMB_SIZE, FACE_SIZE = 1024, 300, 120
 Detector = Callable[[np.ndarray], dict]
 
 
+class LazyDetector:
+    """A detector that each Python worker builds once, at its first image, and keeps: models load off the critical path."""
+
+    _built: dict[int, Detector] = {}
+
+    def __init__(self, factory: Callable[[], Detector]):
+        self.factory = factory
+
+    def __call__(self, pixels: np.ndarray) -> dict:
+        key = hash(self.factory.__qualname__)
+        if key not in self._built:
+            self._built[key] = self.factory()
+        return self._built[key](pixels)
+
+
 def no_detector(pixels: np.ndarray) -> dict:
     """No vision backend: nothing is known of faces or saliency."""
     return {"faces": None, "salient": None}
 
 
-def _pixels_of(data: bytes, longest: int) -> tuple[np.ndarray, int, int, dict | None] | None:
-    meta = exif.read_exif(data)
-    pixels = codecs.decode(data)
-    if pixels is None:
-        return None
-    pixels = raster.orient(pixels, (meta or {}).get("orientation"))
-    return raster.shrink(pixels, longest), pixels.shape[1], pixels.shape[0], meta
-
-
 def analyse_pixels(pixels: np.ndarray, meta: dict | None, detector: Detector = no_detector) -> dict:
     """Metrics of a decoded photo, in the order: blur, exposure, hash, eyes, focus, override, faces."""
     gray = raster.luma(pixels)
@@ -71,26 +79,36 @@ def shutter_seconds(text: str | None) -> float | None:
         return None
 
 
-_METRICS = {"exif": EXIF, "blur": BLUR, "exposure": EXPOSURE, "closed_eyes": CLOSED_EYES, "subject_focus": SUBJECT_FOCUS}
 
 
-def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detector, thumb_dir: str | None = None, tasks: int | None = None) -> DataFrame:
-    """A row per photo below ``root``: identity, EXIF and metrics. What can't be decoded keeps its row, with null metrics.
+_METRICS = {"exif": EXIF, "blur": BLUR, "exposure": EXPOSURE, "closed_eyes": CLOSED_EYES, "subject_focus": SUBJECT_FOCUS}
+SCHEMA = ("id string, path string, file_name string, file_size bigint, modified_at bigint, width int, height int, thumbnail_path string, "
+          + ", ".join(f"{n} {struct(f)}" for n, f in _METRICS.items()) + ", phash binary, embeddings array<array<float>>")
+#: Formats that the JVM's image reader decodes, as a glob that looks at no case; bytes read for a file's EXIF alone.
+JVM_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[tT][iI][fF],[tT][iI][fF][fF]}"
+JVM_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff")
+HEAD_BYTES = 1 << 18
 
-    Files are listed by the data source, dealt out evenly, and opened, decoded and measured one at a time in one pass,
-    so a task holds one photo. Results are narrow: no pixels leave the pass. With ``thumb_dir``, thumbnails are
-    written on the way, unless they are there.
-    """
-    found = discover(spark, root)
-    ids = found.select(photo.image_id(F.col("path"), F.col("modified_at")).alias("id"), "path", photo.file_name(F.col("path")).alias("file_name"), "file_size", "modified_at")
-    if tasks:
-        ids = ids.repartition(tasks)
-    schema = ("id string, path string, file_name string, file_size bigint, modified_at bigint, width int, height int, thumbnail_path string, "
-              + ", ".join(f"{n} {struct(f)}" for n, f in _METRICS.items()) + ", phash binary, embeddings array<array<float>>")
+
+def _arrow_schema():
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+
+def _measured(out: dict, pixels: np.ndarray, meta: dict | None, detector: Detector, thumb_dir: str | None) -> None:
+    """Fill a row from upright pixels of any size."""
+    out["height"], out["width"] = pixels.shape[:2]
+    small = raster.shrink(pixels, WORK_SIZE)
+    out |= analyse_pixels(small, meta, detector)
+    if thumb_dir:
+        out["thumbnail_path"] = write_thumbnail(small, thumb_dir, out["id"])
+
+
+def _analyse_files(files: DataFrame, detector: Detector, thumb_dir: str | None) -> DataFrame:
+    """Open, decode and measure files one at a time in Python."""
+    arrow = _arrow_schema()
 
     def run(batches):
         for batch in batches:
@@ -101,17 +119,61 @@ def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detec
                         data = f.read()
                 except OSError:
                     data = b""
-                decoded = _pixels_of(data, WORK_SIZE)
-                if decoded:
-                    pixels, out["width"], out["height"], out["exif"] = decoded
-                    out |= analyse_pixels(pixels, out["exif"], detector)
-                    if thumb_dir:
-                        out["thumbnail_path"] = write_thumbnail(pixels, thumb_dir, row["id"])
-                else:
-                    out["exif"] = exif.read_exif(data)
+                out["exif"] = exif.read_exif(data)
+                pixels = codecs.decode(data)
+                if pixels is not None:
+                    _measured(out, raster.orient(pixels, (out["exif"] or {}).get("orientation")), out["exif"], detector, thumb_dir)
+                yield pa.RecordBatch.from_pylist([out], schema=arrow)
+
+    return files.mapInArrow(run, SCHEMA)
+
+
+def _analyse_decoded(spark: SparkSession, root: str, detector: Detector, thumb_dir: str | None) -> DataFrame:
+    """Measure what Spark's image reader decodes below ``root``; pixels go from the JVM to the kernels and no further."""
+    arrow, top = _arrow_schema(), os.path.realpath(root)
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", JVM_GLOB).option("dropInvalid", "false").load(root)
+
+    def run(batches):
+        for batch in batches:
+            for origin, h, w, n, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+                real = unquote(origin.as_py()).removeprefix("file:")
+                real = "/" + real.lstrip("/")
+                inside = os.path.relpath(real, root)
+                if os.path.realpath(real) != os.path.join(top, inside):
+                    continue  # reached through a link
+                out = dict.fromkeys(arrow.names)
+                stat = os.stat(real)
+                out |= {"path": os.path.join(root, inside), "file_name": os.path.basename(real), "file_size": stat.st_size, "modified_at": max(0, int(stat.st_mtime))}
+                out["id"] = hashlib.sha256(out["path"].encode() + out["modified_at"].to_bytes(8, "little")).hexdigest()
+                with open(real, "rb") as f:
+                    out["exif"] = exif.read_exif(f.read(HEAD_BYTES))
+                h, w, n = h.as_py(), w.as_py(), n.as_py()
+                if h > 0 and w > 0:
+                    pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
+                    pixels = pixels[..., 0] if n == 1 else pixels[..., 2::-1]  # blue comes first
+                    _measured(out, raster.orient(pixels, (out["exif"] or {}).get("orientation")), out["exif"], detector, thumb_dir)
                 yield pa.RecordBatch.from_pylist([out], schema=arrow)
 
-    return ids.mapInArrow(run, schema)
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, SCHEMA)
+
+
+def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detector, thumb_dir: str | None = None, tasks: int | None = None, jvm_decoder: bool = False) -> DataFrame:
+    """A row per photo below ``root``: identity, EXIF and metrics. What can't be decoded keeps its row, with null metrics.
+
+    Files are listed by the data source, dealt out evenly, and opened, decoded and measured one at a time in one pass,
+    so a task holds one photo. Results are narrow: no pixels leave the pass. With ``jvm_decoder`` the JVM decodes
+    the formats it reads (JPEG of any kind, PNG, TIFF), which is faster for large JPEG files; Python keeps those whose
+    names Spark hides, and other formats. With ``thumb_dir``, thumbnails are written on the way, unless they are there.
+    """
+    found = discover(spark, root)
+    files = found.select(photo.image_id(F.col("path"), F.col("modified_at")).alias("id"), "path", photo.file_name(F.col("path")).alias("file_name"), "file_size", "modified_at")
+    if jvm_decoder:
+        hidden = F.substring("path", len(root.rstrip("/")) + 1, 1 << 20).rlike(r"/[_.]")
+        files = files.where(hidden | ~photo.extension(F.col("path")).isin(*JVM_EXTENSIONS))
+    if tasks:
+        files = files.repartition(tasks)
+    out = _analyse_files(files, detector, thumb_dir)
+    return out.unionByName(_analyse_decoded(spark, root, detector, thumb_dir)) if jvm_decoder else out
 
 
 def write_thumbnail(pixels: np.ndarray, directory: str, image_id: str) -> str:

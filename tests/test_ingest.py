@@ -89,6 +89,44 @@ def test_pipeline(spark, tmp_path):
     assert [(r.face_index, r.embedding) for r in faces] == [(0, [1.0, 2.0])]
 
 
+def test_jvm_decoder(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "a b é#1").mkdir(parents=True)
+    (tmp_path / "elsewhere").mkdir()
+    y, x = np.mgrid[0:64, 0:80]
+    rgb = np.stack([x * 3, y * 3, x + y], axis=2).astype(np.uint8)
+    data = java_jpeg(spark, rgb)
+    for name in ("x.jpg", "_x.jpg", "a b é#1/y.JPG"):
+        (root / name).write_bytes(data)
+    (tmp_path / "elsewhere/z.jpg").write_bytes(data)
+    os.symlink(tmp_path / "elsewhere", root / "linked")
+    os.symlink(root / "x.jpg", root / "link.jpg")
+    (root / "gray.png").write_bytes(codecs.encode_png(np.full((20, 30), 200, np.uint8)))
+    (root / "broken.jpg").write_bytes(b"\xff\xd8 nothing")
+    (root / "raw.nef").write_bytes(b"raw")
+    kinds = [{r.path: r for r in ingest.analyse_photos(spark, str(root), jvm_decoder=k).collect()} for k in (False, True)]
+    assert sorted(kinds[0]) == sorted(kinds[1])
+    assert len(kinds[0]) == 6
+    for path, a in kinds[0].items():
+        b = kinds[1][path]
+        assert (a.id, a.file_size, a.modified_at, a.width, a.height, a.file_name) == (b.id, b.file_size, b.modified_at, b.width, b.height, b.file_name)
+        assert (a.blur is None) == (b.blur is None)
+        if a.blur:
+            assert a.exposure.mean_luminance == pytest.approx(b.exposure.mean_luminance, abs=0.01)
+
+
+def test_lazy_detector_builds_once():
+    built = []
+
+    def factory():
+        built.append(1)
+        return ingest.no_detector
+
+    lazy = ingest.LazyDetector(factory)
+    assert lazy(np.zeros((3, 3))) == lazy(np.zeros((3, 3))) == {"faces": None, "salient": None}
+    assert built == [1]
+
+
 def test_delete_files(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"a")
     plan = spark.createDataFrame([("1", str(tmp_path / "a.jpg")), ("2", str(tmp_path / "gone.jpg"))], "image_id string, path string")
