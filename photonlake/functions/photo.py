@@ -160,3 +160,9 @@ def vector_stats(v: Column) -> Column:
     square = F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)
     return F.struct(F.array_min(d).alias("min"), F.array_max(d).alias("max"), (total / F.size(d)).alias("mean"), F.sqrt(square).alias("l2"),
                     F.size(F.filter(d, lambda x: x != 0)).cast("bigint").alias("nonzero"))
+
+
+def progress(current: Column, total: Column, elapsed_ms: Column) -> Column:
+    """Photos a second, seconds left and rounded percent of a scan; null where nothing is done or known yet."""
+    rate = F.when((elapsed_ms > 0) & (current > 0), current / elapsed_ms * 1000)
+    return F.struct(rate.alias("rate"), ((total - current) / rate).alias("seconds_left"), F.when(total > 0, F.round(current / F.when(total > 0, total) * 100)).cast("bigint").alias("percent"))

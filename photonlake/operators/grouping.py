@@ -119,10 +119,14 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
     return out.withColumn(name, (F.col("_place_before") + F.col("_place_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_place_id", "_place_part", "_place_before")
 
 
-def group_adjacent(df: DataFrame, pos: str, group: str, key: str) -> DataFrame:
-    """``df`` with ``anchor``: the place of the first member of its group. Ordering by anchor and place puts groups together."""
-    block = Window.partitionBy(F.coalesce(F.col(group), F.concat(F.lit("\0"), F.col(key).cast("string"))))
-    return df.withColumn("anchor", F.min(pos).over(block))
+def group_adjacent(df: DataFrame, pos: str, group: str) -> DataFrame:
+    """``df`` with ``anchor``: the place of the first member of its group, or its own. Ordering by anchor and place puts groups together.
+
+    First places are an aggregate that is joined back, so a large group isn't gathered in one task.
+    """
+    first = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).agg(F.min(pos).alias("_first"))
+    joined = df.join(first, F.col(group) == F.col("_group"), "left")
+    return joined.withColumn("anchor", F.coalesce("_first", pos)).drop("_group", "_first")
 
 
 def scene_breaks(df: DataFrame, pos: str, scene: str) -> DataFrame:

@@ -33,7 +33,7 @@ ORDERS = {
 }
 
 
-def filtered_images(view: DataFrame, filters: Iterable[str] = (), sort_by: str | None = None, settings: Settings = DEFAULTS, position: str = "ord", key: str = "image_id") -> DataFrame:
+def filtered_images(view: DataFrame, filters: Iterable[str] = (), sort_by: str | None = None, settings: Settings = DEFAULTS, position: str = "ord") -> DataFrame:
     """Rows that pass all filters, with ``pos``: their place after sorting, duplicates next to one another.
 
     Filters go first and reach the scan where they can. Two distributed sorts number the rows: one for the order,
@@ -43,7 +43,7 @@ def filtered_images(view: DataFrame, filters: Iterable[str] = (), sort_by: str |
         view = view.where(P.FILTERS[name](settings))
     order = ORDERS[sort_by]() if sort_by else []
     placed = with_position(view, *order, F.col(position).asc(), name="_pos")
-    anchored = group_adjacent(placed, "_pos", "duplicate_group_id", key)
+    anchored = group_adjacent(placed, "_pos", "duplicate_group_id")
     return with_position(anchored, F.col("anchor").asc(), F.col("_pos").asc(), name="pos").drop("_pos", "anchor")
 
 

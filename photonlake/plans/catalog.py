@@ -503,7 +503,7 @@ def sort_by_name(spark, d):
     # Names here are ASCII in two lower-cased forms, on which the locale's order and that of lower case agree but for the underscore.
     v = S.view(spark, d).withColumn("file_name", F.lower(photo.file_name(F.col("path"))))
     placed = grouping.with_position(v, F.col("file_name").asc(), F.col("ord").asc(), name="_place")
-    anchored = grouping.group_adjacent(placed, "_place", "duplicate_group_id", "image_id")
+    anchored = grouping.group_adjacent(placed, "_place", "duplicate_group_id")
     return grouping.with_position(anchored, F.col("anchor").asc(), F.col("_place").asc(), name="pos").select("image_id", "pos")
 
 

@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 _COUNT = itertools.count()
 
 
+def _shared_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return f"{root.rstrip('/')}/photonlake-{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``; where that is unset (tests), under the warehouse directory."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{root.rstrip('/')}/photonlake-main-{spark.sparkContext.applicationId}-{next(_COUNT)}"
+    return f"{_shared_root(spark)}/{next(_COUNT)}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. DataFrames that were made from them can't be read after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

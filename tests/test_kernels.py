@@ -248,3 +248,9 @@ def test_hamming_and_cosine(spark):
     got = df.select(photo.hamming_binary(F.col("a"), F.col("b")), photo.cosine(F.col("x"), F.col("y"))).collect()
     assert [r[0] for r in got] == [5, 0]
     assert [r[1] for r in got] == pytest.approx([2**-0.5, 0.0])
+
+
+def test_progress(spark):
+    df = spark.createDataFrame([(50, 200, 1000), (0, 200, 0), (0, 0, 5)], "c long, t long, ms long")
+    got = [tuple(r[0]) for r in df.select(photo.progress(F.col("c"), F.col("t"), F.col("ms"))).collect()]
+    assert got == [(50.0, 3.0, 25), (None, None, 0), (None, None, None)]
