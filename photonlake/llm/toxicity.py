@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first four and five bytes (for inflected words), hashed. Each term that
+Terms are lower-cased words and their first four and five bytes (for inflected words), hashed, and for each of
+these that a text has twice or more, a term that says so. Each term that
 the training rows show to go with a class has a weight and a short latent vector; the score is a logistic link
 of the sum of weights plus the sum over pairs of present terms of the products of their vectors, so that two
 terms together (an insult and a mention of a group) can say what neither says alone.
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flat_utf8, span_hashes
+from .common import arrow_map, flat_utf8, mix64, span_hashes
 
 #: Buckets of hashed terms; terms that the machine keeps; length of a latent vector.
 BUCKETS = 1 << 20
-KEPT_TERMS = 512
+KEPT_TERMS = 256
 RANK = 8
 #: Labelled rows that the model is fitted on at most, chosen by a hash of their id. It bounds what the driver holds.
 MAX_TRAIN_ROWS = 8000
@@ -55,6 +56,25 @@ def term_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.tile(owner, 3), (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+#: The bucket of "twice or more" of each bucket.
+_TWICE = (mix64(np.arange(1, BUCKETS + 1, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+_LOW = np.int64((1 << 32) - 1)
+
+
+def distinct(owner: np.ndarray, bucket: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, term) pairs, in order; terms are buckets or, with ``place``, the kept terms they map to."""
+    single, twice = bucket, _TWICE[bucket]
+    if place is not None:
+        single, twice = place[bucket], place[twice]
+    key, again = owner[single >= 0] * np.int64(1 << 32) + single[single >= 0], np.zeros(0, np.int64)
+    on = twice >= 0
+    if on.any():
+        again, where, count = np.unique(owner[on] * np.int64(1 << 32) + bucket[on], return_index=True, return_counts=True)
+        again = ((again >> np.int64(32)) * np.int64(1 << 32) + twice[on][where])[count > 1]
+    key = np.unique(np.concatenate([key, again]))
+    return key >> np.int64(32), key & _LOW
+
+
 @dataclass
 class Machine:
     """Bias, weights and latent vectors of the kept terms; ``place`` maps a bucket to its kept term or -1."""
@@ -76,11 +96,7 @@ class Machine:
 
 def present(place: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, kept term) pairs."""
-    owner, bucket = term_buckets(data, at)
-    term = place[bucket]
-    on = term >= 0
-    key = np.unique(owner[on] * np.int64(1 << 32) + term[on])
-    return key >> np.int64(32), key & np.int64((1 << 32) - 1)
+    return distinct(*term_buckets(data, at), place)
 
 
 def choose_terms(rows: list[np.ndarray], y: np.ndarray, kept: int = KEPT_TERMS, least: int = 3) -> np.ndarray:
@@ -100,8 +116,12 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray, kept: int = KEPT_TERMS,
     return np.sort(best[2 * gain[best] > 10.83])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Fit by minibatch gradient steps with Adam on the logistic loss."""
+def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps: int = 250, rate: float = 0.05, decay: float = 1e-5, weight: float | None = None, seed: int = 11) -> Machine:
+    """Fit by some ``steps`` minibatch steps with Adam on the logistic loss; a toxic row counts ``weight`` times (the classes' ratio).
+
+    The number of steps doesn't follow that of rows: the bias drifts down with every step past the point where texts
+    without a telling term are settled, and takes those with a single one along.
+    """
     y = np.asarray(y, float)
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
     chosen = choose_terms(rows, y) if len(y) else np.zeros(0, int)
@@ -109,6 +129,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 3
     place[chosen] = np.arange(len(chosen))
     k = len(chosen)
     start = float(np.log((n1 + 1) / (n0 + 1)))
+    weight = weight or max(1.0, n0 / max(n1, 1.0))
     if not k or not n1 or not n0:
         return Machine(place, start, np.zeros(k), np.zeros((k, rank)))
     x = np.zeros((len(rows), k), np.float32)
@@ -119,13 +140,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 3
     theta = [np.array([start], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.02, (k, rank)).astype(np.float32)]
     first, second = ([np.zeros_like(t) for t in theta] for _ in range(2))
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(1, round(steps * 256 / len(rows)))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 256):
             xb, yb = x[order[a : a + 256]], y[order[a : a + 256]]
             sums = xb @ theta[2]
             z = theta[0][0] + xb @ theta[1] + 0.5 * ((sums**2).sum(1) - xb @ (theta[2] ** 2).sum(1))
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(yb)).astype(np.float32)
+            g = (np.where(yb > 0, weight, 1.0) * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(yb)).astype(np.float32)
             gx = xb.T @ g
             grads = [np.array([g.sum()], np.float32), gx + decay * theta[1], xb.T @ (g[:, None] * sums) - gx[:, None] * theta[2] + decay * theta[2]]
             step += 1
@@ -151,10 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, at = flat_utf8(batch.column(0))
-        owner, bucket = term_buckets(data, at)
-        key = np.unique(owner * np.int64(1 << 32) + bucket)
-        ends = np.searchsorted(key >> np.int64(32), np.arange(batch.num_rows + 1)).astype(np.int32)
-        x = pa.ListArray.from_arrays(pa.array(ends), pa.array((key & np.int64((1 << 32) - 1)).astype(np.int32)))
+        owner, term = distinct(*term_buckets(data, at))
+        ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+        x = pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32)))
         return pa.RecordBatch.from_arrays([x, batch.column(1)], names=["x", "y"])
 
     # At most max_rows narrow rows: small enough to be sent to all executors.

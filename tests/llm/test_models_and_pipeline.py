@@ -71,7 +71,7 @@ def test_machine_learns_an_interaction():
         rows.append(np.array(sorted(r)))
         y.append(int(a and b))
     y = np.array(y)
-    m = toxicity.fit(rows, y, epochs=60)
+    m = toxicity.fit(rows, y, steps=400)
 
     def score(x):
         t = m.place[np.array(x)]
@@ -84,6 +84,21 @@ def test_machine_learns_an_interaction():
     assert both - one - other + none > 2
 
 
+def test_terms_that_occur_twice():
+    import pyarrow as pa
+
+    data, at = flat_utf8(pa.array(["bad tree bad", "bad tree", "", "tree"]))
+    owner, term = toxicity.distinct(*toxicity.term_buckets(data, at))
+    found = [set(term[owner == i].tolist()) for i in range(4)]
+    assert found[1] < found[0]
+    assert len(found[0]) - len(found[1]) == 3  # the word, and its first four and five bytes
+    assert found[3] < found[1]
+    assert not found[2]
+    kept = np.full(toxicity.BUCKETS, -1, np.int32)
+    kept[sorted(found[0] - found[1])] = np.arange(3)
+    assert toxicity.distinct(*toxicity.term_buckets(data, at), kept)[0].tolist() == [0, 0, 0]
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifier_edges(spark, module, label):
     rng = random.Random(1)
