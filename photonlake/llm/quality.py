@@ -1,7 +1,7 @@
 """Quality classifier: support vectors over n-gram indicators scaled by naive Bayes log-count ratios.
 
 Features are indicators of presence in the whole text: of hashed byte n-grams (1 to 3 bytes, case kept), and of
-the word n-grams "a a" and "a a a", for any word. With the per-class counts of each indicator, smoothed,
+word n-grams that repeat one word ("a a", "a a a" and longer). With the per-class counts of each indicator, smoothed,
 ``r = log((p / |p|) / (q / |q|))``; a document's vector is ``r`` where the indicator is set, divided by a power of
 its length, so that neither short nor long texts rule the fit. A linear model with hinge loss is fitted to these
 vectors by dual coordinate descent, and a logistic link fitted on rows kept out of that fit turns margins into
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, flat_utf8, slices, span_hashes, split_words
 
-#: Buckets of hashed byte n-grams (two more are for the word n-grams); orders of the n-grams.
+#: Buckets of hashed byte n-grams; lengths of runs of one word that are indicators; orders of the byte n-grams.
 HASHED = 1 << 16
-BUCKETS = HASHED + 2
+RUNS = (2, 3, 4, 6)
+BUCKETS = HASHED + len(RUNS)
 ORDERS = (1, 2, 3)
 #: Vectors are divided by their squared length to this power (one half would be unit length).
 POWER = 0.35
@@ -43,16 +44,16 @@ def ngram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def repeats(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For texts laid end to end (n+1 offsets): whether "a a" and "a a a" occur in each (A-Z lower-cased), as two columns."""
-    n = len(at) - 1
+    """For texts laid end to end (n+1 offsets): whether a word occurs so many times running (RUNS; A-Z lower-cased), a column each."""
+    out = np.zeros((len(at) - 1, len(RUNS)), bool)
     apart, begin, end, owner = split_words(data, at)
-    same = np.zeros(len(begin) + 1, bool)
-    if len(begin) > 1:
+    if len(begin):
         h = span_hashes(apart, begin, end)
-        same[1:-1] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-    out = np.zeros((n, 2), bool)
-    out[owner[same[:-1]], 0] = True
-    out[owner[same[:-1] & np.append(False, same[:-2])], 1] = True
+        fresh = np.ones(len(begin), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        run = np.arange(len(begin)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] + 1
+        for k, length in enumerate(RUNS):
+            out[owner[run >= length], k] = True
     return out
 
 
