@@ -1,12 +1,11 @@
-"""Line dedup by winnowing over line hashes.
-
-A text's physical lines are wrapped into short virtual lines at places that their words choose (after a word
-whose hash is a multiple of ``WRAP``), so a passage that was pasted into the middle of a longer line has the same
-virtual lines there as anywhere else. Of each window of ``WINDOW`` consecutive grams (``GRAM`` virtual lines each)
-the least gram hash is a fingerprint: a run of at least ``WINDOW + GRAM - 1`` common virtual lines has one at the
-same place in both texts, guaranteed. Fingerprints meet by hash with their positions; an occurrence is matched
-with an earlier one and extended both ways over the virtual lines around it; matches that touch make a run, and
-a run of enough words is deleted. The first occurrence of everything stays.
+"""Line dedup by winnowing over word grams.
+
+Of each window of ``min_run`` consecutive words, wherever lines end, the least hash of the grams inside it (half as
+long as the window; of equal ones the last) is its fingerprint, which depends on the window's words alone. The
+windows next to each other that share one fingerprint are a stretch. A stretch that occurs earlier with the same
+words is deleted whole; where a fingerprint occurs in several different stretches, at the ends of copies and in stock
+sentences, each window of these is looked up by itself. So a word is deleted exactly if a window of ``min_run`` words
+around it occurs earlier, whatever else its parts occur in, and the first occurrence of everything stays.
 """
 
 from __future__ import annotations
@@ -18,178 +17,227 @@ from pyspark.sql import functions as F
 
 from .common import flat_utf8, mix64, slices, span_hashes, split_words
 
-WRAP, LONGEST = 4, 128
-GRAM, WINDOW = 3, 4
-#: Virtual lines before and after a fingerprint that a match can be extended over; the next fingerprint is nearer.
-REACH = 3
-#: Words of a match at least, and of a run that is deleted.
-MIN_MATCH, MIN_RUN = 8, 32
-#: Text bytes in which equal fingerprints are matched before anything is shuffled, so a hot one is sent once for each.
+#: Words of a run at least.
+MIN_RUN = 32
+#: Text bytes in which equal stretches are matched before anything is shuffled, so a hot one is sent once for each.
 LOCAL_BYTES = 16 << 20
-_BITS = np.uint64(21)
-_PART = np.uint64((1 << 21) - 1)
-
-
-def virtual_lines(data: np.ndarray, at: np.ndarray):
-    """Of texts laid end to end: hash, first word (numbered within its text), words and text of each virtual line."""
-    apart, begin, end, owner = split_words(data, at)
-    n = len(begin)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    word = span_hashes(apart, begin, end)
-    feeds = np.cumsum(apart == 10)
-    last = np.ones(n, bool)
-    last[:-1] = (owner[1:] != owner[:-1]) | (feeds[begin[1:]] != feeds[end[:-1] - 1]) | (word[:-1] % np.uint64(WRAP) == 0)
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    inside = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    starts = np.flatnonzero(inside % LONGEST == 0)  # without a word that ends it, a virtual line ends here
-    size = np.diff(np.append(starts, n))
-    inside = np.arange(n) - np.repeat(starts, size)
+#: Text bytes whose words are hashed at a time, and whose windows are looked up.
+HASHED_BYTES = 1 << 20
+#: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """The words of texts laid end to end, with a hash of any run of them."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        apart, begin, end, self.owner = split_words(data, at)
+        self.first = np.searchsorted(self.owner, np.arange(len(at)))
+        n = len(begin)
+        self.sums = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(span_hashes(apart, begin, end) * _powers(_BASE, n), out=self.sums[1:])
+            self.back = _powers(_BACK, n)
+
+    def hashes(self, place: np.ndarray, size) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[place + size] - self.sums[place]) * self.back[place] + np.asarray(size).astype(np.uint64))
+
+
+def stretches(words: Words, run: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a fingerprint: its hash, that of the stretch, text, first word in it, and number of windows."""
+    n, gram = len(words.owner), max(1, run // 2)
+    count = n - run + 1
+    if count <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    best, where = words.hashes(np.arange(n - gram + 1), gram), np.arange(n - gram + 1)
+    grams, width, most = best, 1, run - gram + 1
+    while width < most:
+        step = min(width, most - width)
+        right = best[step:] <= best[:-step]
+        best, where = np.where(right, best[step:], best[:-step]), np.where(right, where[step:], where[:-step])
+        width += step
+    inside = words.owner[:count] == words.owner[run - 1 :]
+    new = np.ones(count, bool)
+    new[1:] = (where[1:] != where[:-1]) | ~inside[:-1]
+    starts = np.flatnonzero(new)
+    windows = np.diff(np.append(starts, count))
+    # Places where no window of one text starts follow a text's last window, and aren't new ones there.
+    lost = np.add.reduceat((~inside).astype(np.int64), starts)
+    windows = windows - lost
+    starts, windows = starts[windows > 0], windows[windows > 0]
+    text = words.owner[starts]
     with np.errstate(over="ignore"):
-        total = np.add.reduceat(word * (inside.astype(np.uint64) * np.uint64(2) + np.uint64(3)), starts)
-    first_word = np.searchsorted(owner, np.arange(len(at) - 1))
-    return mix64(total + size.astype(np.uint64)), starts - first_word[owner[starts]], size, owner[starts]
-
-
-def fingerprints(line: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Selected grams: hash, first virtual line, last virtual line. A text of fewer than GRAM lines is one gram."""
-    n = len(line)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    count = np.diff(np.append(first, n))
-    span = np.repeat(np.minimum(count, GRAM), count)
-    place = np.arange(n) - np.repeat(first, count)
-    grams = np.maximum(count - GRAM + 1, 1)
-    is_gram = place < np.repeat(grams, count)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
-        for j in range(GRAM):
-            has = np.flatnonzero(j < span)
-            has = has[has + j < n]
-            total[has] += line[has + j] * np.uint64(2 * j + 5)
-        gram = mix64(total + span.astype(np.uint64))
-    gram[~is_gram] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    # The least of each whole window; of equal ones the last. A text with fewer grams than that is one window.
-    width = np.repeat(np.minimum(grams, WINDOW), count)
-    start = place <= np.repeat(grams, count) - width
-    start &= is_gram
-    best, where = gram.copy(), np.arange(n)
-    for j in range(1, WINDOW):
-        at = np.minimum(np.arange(n) + j, n - 1)
-        less = (j < width) & (gram[at] <= best)
-        best[less], where[less] = gram[at[less]], at[less]
-    chosen = np.unique(where[start])
-    return gram[chosen], chosen, chosen + span[chosen] - 1
-
-
-def _packed(values: list[np.ndarray], bits: np.uint64) -> np.ndarray:
-    out = np.zeros(len(values[0]), np.uint64)
-    for v in values:
-        out = (out << bits) | v
-    return out.view(np.int64)
-
-
-def positions(data: np.ndarray, at: np.ndarray):
-    """Fingerprints with text, first word, context and sizes: hash, owner, word, left, right, counts."""
-    line, word, size, owner = virtual_lines(data, at)
-    gram, first, last = fingerprints(line, owner)
-    n = len(line)
-    near, sizes = [], []
-    for end, way in ((first, -1), (last, 1)):
-        for j in range(1, REACH + 1):
-            p = end + way * j
-            ok = (p >= 0) & (p < n)
-            p = np.clip(p, 0, max(n - 1, 0))
-            ok &= owner[p] == owner[end] if n else ok
-            near.append(np.where(ok, (line[p] & _PART) | np.uint64(1), np.uint64(0)) if n else np.zeros(0, np.uint64))
-            sizes.append(np.where(ok, size[p], 0).astype(np.uint64) if n else np.zeros(0, np.uint64))
-    own = (word[last] + size[last] - word[first]).astype(np.uint64) if n else np.zeros(0, np.uint64)
-    counts = (_packed(sizes, np.uint64(8)).view(np.uint64) << np.uint64(10)) | own
-    return gram.view(np.int64), owner[first] if n else first, word[first] if n else first, _packed(near[:REACH], _BITS), _packed(near[REACH:], _BITS), counts.view(np.int64)
-
-
-def extended(left, right, counts, word, other_left, other_right) -> tuple[np.ndarray, np.ndarray]:
-    """The words (from, to) of matches, extended both ways while virtual lines agree."""
-    counts, begin = counts.view(np.uint64), word.astype(np.int64).copy()
-    end = begin + (counts & np.uint64(1023)).astype(np.int64)
-    counts = counts >> np.uint64(10)
-    for k, (mine, other, sign) in enumerate(((left, other_left, -1), (right, other_right, 1))):
-        going = np.ones(len(begin), bool)
-        for j in range(REACH):
-            shift = np.uint64(21 * (REACH - 1 - j))
-            a, b = (mine.view(np.uint64) >> shift) & _PART, (other.view(np.uint64) >> shift) & _PART
-            going &= (a == b) & (a > 0)
-            step = ((counts >> np.uint64(8 * (2 * REACH - 1 - REACH * k - j))) & np.uint64(255)).astype(np.int64)
-            if sign < 0:
-                begin -= np.where(going, step, 0)
-            else:
-                end += np.where(going, step, 0)
-    return begin, end
-
-
-def _matched(h, doc, word, left, right, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows in order of (hash, document, word): which are first of their hash; (document, from, to) of the others' matches."""
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, int)
-    later = np.flatnonzero(~first & ((doc != doc[lead]) | (word != word[lead])))
-    lead = lead[later]
-    begin, end = extended(left[later], right[later], counts[later], word[later], left[lead], right[lead])
-    long = end - begin >= MIN_MATCH
-    return first, doc[later][long], begin[long], end[long]
-
-
-_NAMES = ["h", "doc", "word", "left", "right", "counts"]
-
-
-def _scan(docs: DataFrame) -> DataFrame:
-    """Fingerprint rows, one for each hash of a piece of the input, and (with counts -1, left, right) matches found there."""
+        whole = mix64(words.hashes(starts, windows + run - 1) + (where[starts] - starts).astype(np.uint64))
+    return grams[where[starts]].view(np.int64), whole.view(np.int64), text, starts - words.first[text], windows
 
-    def run(batches):
+
+def _changes(*cols: np.ndarray) -> np.ndarray:
+    """Where a row, in order, differs from the one before."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = False
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _repeats(first: np.ndarray, doc: np.ndarray, word: np.ndarray, run: int) -> np.ndarray:
+    """Rows, in order, that repeat the first row of their key: of another document, or so far on that windows don't overlap."""
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, int)
+    return (doc != doc[lead]) | (word - word[lead] >= run)
+
+
+def _sorted(cols: list[np.ndarray], keys: int) -> list[np.ndarray]:
+    order = np.lexsort(cols[:keys][::-1])
+    return [c[order] for c in cols]
+
+
+def _groups(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each row, in order of h, whether a row of the same h is marked."""
+    first = _changes(h)
+    return np.logical_or.reduceat(marks, np.flatnonzero(first))[np.cumsum(first) - 1] if len(h) else marks
+
+
+def _batch(names: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    cols = [np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"`{x}` bigint" for x in names)
+
+
+#: Rows of a stretch are asked about (ASK), or known to have others (TOLD); or say what is found: to delete (DONE), to look at by windows (TEST).
+ASK, TOLD, DONE, TEST = range(4)
+_ROWS = ["h", "whole", "doc", "word", "windows", "kind"]
+_FOUND = ["doc", "word", "windows", "kind"]
+_WINDOWS = ["h", "doc", "word", "windows"]
+
+
+def _spread(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(np.asarray(doc, np.int64).view(np.uint64) + np.asarray(word, np.int64).view(np.uint64)).view(np.int64)
+
+
+def _scan(docs: DataFrame, run: int) -> DataFrame:
+    """Stretches, those of one fingerprint in a piece of the input as one row, and what a piece shows by itself."""
+
+    def scan(batches):
         for batch in batches:
             for piece in slices(batch, "text", LOCAL_BYTES):
-                parts = []
+                parts, base = [], 0
                 ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                base = 0
-                for small in slices(piece, "text"):
-                    h, owner, *rest = positions(*flat_utf8(small.column(1)))
-                    parts.append((h, ids[base + owner], *rest))
+                for small in slices(piece, "text", HASHED_BYTES):
+                    h, whole, text, word, windows = stretches(Words(*flat_utf8(small.column(1))), run)
+                    parts.append((h, whole, ids[base + text], word, windows))
                     base += small.num_rows
-                h, doc, word, left, right, counts = (np.concatenate([p[k] for p in parts]) for k in range(6))
-                order = np.lexsort((word, doc, h))
-                h, doc, word, left, right, counts = (x[order] for x in (h, doc, word, left, right, counts))
-                first, found, begin, end = _matched(h, doc, word, left, right, counts)
-                spread = mix64(found.view(np.uint64) + begin.view(np.uint64)).view(np.int64)
-                cols = [np.concatenate([x[first], y]) for x, y in ((h, spread), (doc, found), (word, begin), (left, begin), (right, end), (counts, np.full(len(found), -1)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=_NAMES)
+                h, whole, doc, word, windows = _sorted([np.concatenate([p[k] for p in parts]) for k in range(5)], 4)
+                first = _changes(h, whole)
+                done = _repeats(first, doc, word, run)
+                several = _groups(h, first & ~_changes(h))
+                ask, told, test = ~several & ~done, several & _changes(h), several & ~done
+                out = [[h[k], whole[k], doc[k], word[k], windows[k], np.full(int(k.sum()), kind)] for k, kind in ((ask, ASK), (told, TOLD))]
+                out += [[_spread(doc[k], word[k]), np.zeros(int(k.sum())), doc[k], word[k], windows[k], np.full(int(k.sum()), kind)] for k, kind in ((done, DONE), (test, TEST))]
+                yield _batch(_ROWS, out)
 
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return src.mapInArrow(run, ", ".join(f"`{x}` bigint" for x in _NAMES))
+    return src.mapInArrow(scan, _ddl(_ROWS))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, from, to): matches, in words, of places whose virtual lines occur earlier, by document id and place."""
+def _compared(rows: DataFrame, run: int) -> DataFrame:
+    """(doc, word, windows, kind): stretches to delete, and those whose windows occur in other stretches too."""
 
-    def run(batches):
+    def compared(cols):
+        h, whole, doc, word, windows, kind = cols
+        first = _changes(h, whole)
+        several = _groups(h, (first & ~_changes(h)) | (kind == TOLD))
+        done = _repeats(first, doc, word, run) & (kind == ASK)
+        test = several & ~done & (kind == ASK)
+        return [[doc[k], word[k], windows[k], np.full(int(k.sum()), what)] for k, what in ((done, DONE), (test, TEST))]
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            known = cols[5] >= DONE
+            out = [[c[known] for c in cols[2:]]]
+            cols = [c[~known] for c in cols]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+            if len(cols[0]):  # the last fingerprint may go on: a row or a few for each piece of the input
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                out += compared([c[:cut] for c in cols])
+                held = [c[cut:] for c in cols]
+            yield _batch(_FOUND, out)
+        if held is not None:
+            yield _batch(_FOUND, compared(held))
+
+    return rows.repartition("h").sortWithinPartitions("h", "whole", "doc", "word").mapInArrow(compare, _ddl(_FOUND))
+
+
+def _by_window(left: DataFrame, found: DataFrame, run: int) -> DataFrame:
+    """Window rows (h, doc, word, 0) of the stretches to test; and (h, doc, word, windows) of what is to delete.
+
+    ``left`` goes through the join with all its columns and rows, so that the shuffle of the texts is the one that
+    :func:`dedup_lines` reads again.
+    """
+    one = F.struct("word", "windows", "kind")
+    lists = found.groupBy("doc").agg(F.collect_set(one).alias("_found"), F.max(F.col("kind") == TEST).alias("_test"))
+    lists = lists.withColumnRenamed("doc", "_line_doc")
+    rest = [F.col(c).alias(f"_rest{i}") for i, c in enumerate(left.columns[2:])]
+    text = F.when(F.col("_test"), F.col("text")).otherwise("").alias("text")
+    joined = left.join(lists, F.col("doc_id") == F.col("_line_doc"), "left").select(F.coalesce("_line_doc", F.lit(0)).alias("_line_doc"), text, "_found", *rest)
+
+    def look(batches):
+        for batch in batches:
+            for piece in slices(batch, "text", HASHED_BYTES):
+                lists, ids = piece.column(2), piece.column(0).to_numpy()
+                flat, text = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                word, windows, kind = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                k = kind == DONE
+                done = [_spread(ids[text[k]], word[k]), ids[text[k]], word[k], windows[k]]
+                text, word, windows = text[~k], word[~k], windows[~k]
+                words = Words(*flat_utf8(piece.column(1)))
+                inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+                text, word = np.repeat(text, windows), np.repeat(word, windows) + inside
+                place = words.first[text] + word
+                k = place + run <= words.first[text + 1]  # another text of the same id may be shorter
+                h, doc, word = _sorted([words.hashes(place[k], run).view(np.int64), ids[text[k]], word[k]], 3)
+                again = _repeats(_changes(h), doc, word, run)
+                found = [_spread(doc[again], word[again]), doc[again], word[again], np.ones(int(again.sum()))]
+                yield _batch(_WINDOWS, [[h[~again], doc[~again], word[~again], np.zeros(int((~again).sum()))], done, found])
+
+    return joined.mapInArrow(look, _ddl(_WINDOWS))
+
+
+def repeated_spans(docs: DataFrame, left: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """(doc, begin, end): words of windows, or of several next to each other, that occur earlier by document id and place."""
+
+    def spans(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            if not len(cols[0]):
-                continue
-            done = cols[5] == -1
-            out = [(cols[1][done], cols[3][done], cols[4][done])]
-            cols = [c[~done] for c in cols]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            known = cols[3] > 0
+            out = [[c[known] for c in cols[1:]]]
+            cols = [c[~known] for c in cols]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             if len(cols[0]):
-                first, *found = _matched(*cols)
-                out.append(tuple(found))
-                held = [c[np.flatnonzero(first)[-1] :][:1] for c in cols]  # the first of the hash that may go on
-            doc, begin, end = (np.concatenate([o[k] for o in out]) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin), pa.array(end)], names=["doc", "begin", "end"])
+                first = _changes(cols[0])
+                again = _repeats(first, cols[1], cols[2], run)
+                out.append([cols[1][again], cols[2][again], np.ones(int(again.sum()))])
+                held = [c[np.flatnonzero(first)[-1] :][:1] for c in cols]  # the first of the window that may go on
+            doc, word, windows = (np.concatenate([np.asarray(o[k], np.int64) for o in out]) for k in range(3))
+            yield _batch(["doc", "begin", "end"], [[doc, word, word + windows + run - 1]])
 
-    dealt = _scan(docs).repartition("h").sortWithinPartitions("h", "doc", "word")
-    return dealt.mapInArrow(run, "doc bigint, begin bigint, `end` bigint")
+    rows = _by_window(left, _compared(_scan(docs, run), run), run)
+    return rows.repartition("h").sortWithinPartitions("h", "doc", "word").mapInArrow(spans, _ddl(["doc", "begin", "end"]))
 
 
 def merged_runs(begin: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -231,12 +279,13 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, keep: tuple[str, ...] =
     other's repetitions; a null id takes no part and keeps its text; a null text stays null; empty texts stay
     empty; a text that is all repetition becomes empty. An empty table gives an empty result.
 
-    One shuffle carries narrow fingerprint rows, at most one for each hash and piece of input: how often a line
-    occurs changes nothing there. A second brings a document's runs to its text.
+    One shuffle carries narrow rows of stretches, a few for each fingerprint and piece of input: how often a line
+    occurs changes nothing there. A second brings those that aren't settled to their texts, a third carries their
+    windows, and a fourth brings a document's runs to its text.
     """
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("_line_spans")).withColumnRenamed("doc", "_line_doc")
     # A merge join whatever the sizes, so the plan of a large input is that of a small one.
     left = docs.select("doc_id", "text", *keep).hint("merge")
+    spans = repeated_spans(docs, left, min_run).groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("_line_spans")).withColumnRenamed("doc", "_line_doc")
     joined = left.join(spans, F.col("doc_id") == F.col("_line_doc"), "left").select("doc_id", "text", "_line_spans", *keep)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds['doc_id']}, text string, n_runs bigint, n_deleted bigint" + "".join(f", `{c}` {kinds[c]}" for c in keep)

@@ -167,6 +167,46 @@ def test_line_dedup_within_a_text(spark):
     assert row.n_deleted == 60
 
 
+def without_repeats(rows, run):
+    """By brute force: a word goes if a window of ``run`` words around it occurs in an earlier text, or further back in its own."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        words = text.split()
+        gone = set()
+        for p in range(len(words) - run + 1):
+            d, q = first.setdefault(tuple(words[p : p + run]), (i, p))
+            if d != i or p - q >= run:
+                gone.update(range(p, p + run))
+        out[i] = [w for p, w in enumerate(words) if p not in gone]
+    return out
+
+
+def edited(rng, words, n):
+    """Words with n of them changed."""
+    out = list(words)
+    for p in rng.sample(range(len(out)), n):
+        out[p] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def test_line_dedup_tries_every_earlier_copy(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"x{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    passages = [own(60) for _ in range(15)]
+    for k, passage in enumerate(passages):  # stock sentences and edited versions come before the first true copy
+        for j in range(5):
+            p = rng.randrange(36)
+            rows.append((100 * k + j, " ".join([*own(9), *passage[p : p + 24], *own(9)])))
+            rows.append((100 * k + 10 + j, " ".join([*own(9), *edited(rng, passage, 2), *own(9)])))
+        rows += [(100 * k + 50 + j, " ".join([*own(rng.randrange(1, 40)), *passage, *own(rng.randrange(1, 40))])) for j in range(3)]
+    want = without_repeats(rows, 32)
+    for parts in (1, 7):
+        got = {r.doc_id: r.text.split() for r in lines.dedup_lines(spark.createDataFrame(rows, DOC).repartition(parts)).collect()}
+        assert got == want
+    assert all(not set(passage) & set(got[100 * k + 50 + j]) for k, passage in enumerate(passages) for j in (1, 2))
+
+
 def windows_of(words, size):
     n = min(size, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
