@@ -157,6 +157,10 @@ def compute_subject_focus(gray: np.ndarray, boxes: list | None, source: str | No
     return {"subject_blur_variance": subject, "background_blur_variance": background, "focus_ratio": ratio, "verdict": focus_verdict(subject, background, ratio), "subject_source": source}
 
 
+#: Bits of a perceptual hash of the usual side.
+HASH_BITS = 144
+
+
 def perceptual_hash(gray: np.ndarray, side: int = 8) -> bytes:
     """Signs of horizontal, then vertical steps of the raster at (side + 1) squared: 2 * side * (side + 1) bits."""
     small = resize(gray, side + 1, side + 1).astype(int)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.photo import hamming
+from ..functions.photo import hamming, hamming_binary
+from ..functions.raster import HASH_BITS
 from ..plans.shared import carried, materialise
 from ..settings import Settings
 from .components import connected_components
@@ -53,29 +54,51 @@ def find_scene_groups(df: DataFrame, id_col: str, ts: str, window_secs: int = Se
     return found.join(labels, F.col("session_start") == F.col("s")).select(id_col, F.col("label").alias("scene_group_id"))
 
 
-def similar_pairs(df: DataFrame, group: str, order: str, hash_col: str, threshold: int, bits: int = 64) -> DataFrame:
-    """(a, b): positions of rows of a group whose packed hashes differ in at most ``threshold`` bits, a before b.
+def similar_pairs(df: DataFrame, group: str, order: str, hash_col: str, threshold: int, bits: int | None = None) -> DataFrame:
+    """(a, b): positions of rows of a group whose hashes differ in at most ``threshold`` bits, a before b.
 
-    Where the hash has eight bits or more for each of ``threshold + 1`` bands, rows meet by an equal band, since two
-    such hashes agree on one at least; else all rows of a group meet. Null hashes make no pair.
+    Hashes are packed in 64-bit integers, or binary of any length; ``bits`` is their usual length. Where it has eight
+    bits or more for each of ``threshold + 1`` bands, rows meet by an equal band, since two such hashes agree on one at
+    least; else all rows of a group meet, as binary hashes of another length always do (they are compared as far as
+    the shorter goes). Null hashes make no pair.
     """
+    binary = df.schema[hash_col].dataType.typeName() == "binary"
+    bits = bits or (HASH_BITS if binary else 64)
+    distance = hamming_binary if binary else hamming
     rows = df.where(F.col(hash_col).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(hash_col).alias("h"))
     width = bits // (threshold + 1)
     keys = ["g"]
+    every = rows
     if width >= 8:
         mask = F.lit((1 << width) - 1)
-        band = lambda i: F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", i * width).bitwiseAND(mask).alias("part"))
+        part = (lambda i: _bits_of(F.col("h"), i * width, width)) if binary else (lambda i: F.shiftrightunsigned("h", i * width).bitwiseAND(mask))
+        if binary:
+            rows = rows.where(F.octet_length("h") * 8 == bits)
+        band = lambda i: F.struct(F.lit(i).alias("band"), part(i).alias("part"))
         rows = rows.select("g", "o", "h", F.inline(F.array(*(band(i) for i in range(threshold + 1)))))
         keys = ["g", "band", "part"]
     a, b = rows.alias("a"), rows.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    near = (F.col("a.o") < F.col("b.o")) & (hamming(F.col("a.h"), F.col("b.h")) <= threshold)
+    near = (F.col("a.o") < F.col("b.o")) & (distance(F.col("a.h"), F.col("b.h")) <= threshold)
     for c in same:
         near = c & near
     pairs = a.join(b, near).select(F.col("a.o").alias("a"), F.col("b.o").alias("b"))
+    if binary and width >= 8:
+        odd, b = every.where(F.octet_length("h") * 8 != bits).alias("a"), every.alias("b")
+        near = (F.col("a.g") == F.col("b.g")) & (F.col("a.o") != F.col("b.o")) & (distance(F.col("a.h"), F.col("b.h")) <= threshold)
+        pairs = pairs.union(odd.join(b, near).select(F.least("a.o", "b.o").alias("a"), F.greatest("a.o", "b.o").alias("b")))
     return pairs.distinct() if width >= 8 else pairs
 
 
+def _bits_of(h: Column, first: int, width: int) -> Column:
+    """So many bits of a binary as an integer, from a place on."""
+    byte, last = first // 8, (first + width - 1) // 8
+    whole = F.lit(0).cast("bigint")
+    for k in range(byte, last + 1):
+        whole = whole * 256 + F.conv(F.hex(F.substring(h, k + 1, 1)), 16, 10).cast("bigint")
+    return F.shiftright(whole, 8 * (last + 1) - first - width).bitwiseAND(F.lit((1 << width) - 1))
+
+
 def duplicate_edges(df: DataFrame, order: str, ts: str, hash_col: str, window_secs: int, threshold: int) -> DataFrame:
     """Pairs (a, b) of positions that :func:`find_duplicate_groups` links."""
     return similar_pairs(sessions(df.select(order, ts, hash_col), ts, window_secs), "session_start", order, hash_col, threshold)

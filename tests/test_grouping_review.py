@@ -1,11 +1,14 @@
 """Grouping and review fixtures, and properties that must hold."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from photonlake.functions import predicates
-from photonlake.operators import grouping, persons, review
+from photonlake.operators import grouping, ingest, persons, review
+from photonlake.sources import codecs
 from photonlake.streaming.scenes import stream_scenes
 
 H = "ord long, image_id string, ts long, phash long"
@@ -55,6 +58,38 @@ def test_banded_candidates_lose_no_pair(spark):
     assert got == {(i, j) for i in range(200) for j in range(i + 1, 200) if bin((rows[i][1] ^ rows[j][1]) & (2**64 - 1)).count("1") <= 4}
 
 
+def test_binary_hashes_lose_no_pair(spark):
+    rng = np.random.default_rng(2)
+    base = [int.from_bytes(rng.bytes(18), "big") for _ in range(20)]
+    hashes = []
+    for i in range(120):
+        h = base[i % 20]
+        for b in rng.choice(144, rng.integers(0, 9), replace=False):
+            h ^= 1 << int(b)
+        hashes.append(h.to_bytes(18, "big"))
+    hashes += [hashes[3][:9], hashes[5] + b"more", None]
+    df = spark.createDataFrame([(1, i, h) for i, h in enumerate(hashes)], "g int, o long, h binary")
+
+    def distance(a, b):
+        return sum((x ^ y).bit_count() for x, y in zip(a, b, strict=False))
+
+    for threshold in (10, 20):  # by bands, and all with all
+        got = [tuple(r) for r in grouping.similar_pairs(df, "g", "o", "h", threshold).collect()]
+        n = len(hashes) - 1
+        assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if distance(hashes[i], hashes[j]) <= threshold]
+
+
+def test_duplicates_of_analysed_photos(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shots = [rng.integers(0, 200, (90, 90)).astype(np.uint8).repeat(2, 0).repeat(2, 1) for _ in range(3)]
+    for k, shot in enumerate([shots[0], shots[1], shots[0] + 20, shots[2], shots[1] + 9]):
+        (tmp_path / f"{k}.png").write_bytes(codecs.encode_png(shot))
+        os.utime(tmp_path / f"{k}.png", (1000 + k, 1000 + k))
+    photos = ingest.analyse_photos(spark, str(tmp_path)).withColumn("ord", F.substring("file_name", 1, 1).cast("bigint"))
+    got = grouping.find_duplicate_groups(photos, "ord", "modified_at", "phash").collect()
+    assert {r.ord: r.duplicate_group_id for r in got} == {0: "dup-1", 2: "dup-1", 1: "dup-2", 4: "dup-2"}
+
+
 def test_scenes(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([0, 60, 121, 500, 510])], "i long, t long")
     assert {r.i: r.scene_group_id for r in grouping.find_scene_groups(df, "i", "t", 60).collect()} == {0: "scene-1", 1: "scene-1", 3: "scene-2", 4: "scene-2"}
