@@ -10,6 +10,7 @@ from ..functions.raster import HASH_BITS
 from ..plans.shared import carried, materialise
 from ..settings import Settings
 from .components import connected_components
+from .persons import cluster_faces
 
 #: Seconds in a bucket of time, and input positions in one: what a window task sorts.
 TIME_BUCKET = 86_400
@@ -114,13 +115,30 @@ def find_duplicate_groups(df: DataFrame, order: str, ts: str, hash_col: str, win
     return nodes.join(labels, F.col("component") == F.col("k")).select(F.col("node").alias(order), F.col("label").alias("duplicate_group_id"))
 
 
-def regroup(inputs: DataFrame, settings: Settings) -> DataFrame:
-    """Inputs (ord, image_id, ts, phash) with duplicate and scene ids at new thresholds; ids that no longer hold are null."""
+def regroup(inputs: DataFrame, settings: Settings, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images and faces with their ids at new thresholds; ids that no longer hold are null.
+
+    Of inputs (ord, image_id, ts, phash), each with duplicate and scene ids; of faces (image_id, face_index,
+    embedding) of these images (image_id, face_index, person_id), persons numbered by image and face in order.
+    """
+    return regroup_images(inputs, settings), regroup_persons(inputs, settings, faces)
+
+
+def regroup_images(inputs: DataFrame, settings: Settings) -> DataFrame:
+    """Inputs (ord, image_id, ts, phash) with duplicate and scene ids; null where there is none."""
     duplicates = find_duplicate_groups(inputs, "ord", "ts", "phash", settings.duplicate_window_secs, settings.duplicate_threshold)
     scenes = find_scene_groups(inputs, "image_id", "ts", settings.scene_window_secs)
     return inputs.join(duplicates, "ord", "left").join(scenes, "image_id", "left")
 
 
+def regroup_persons(inputs: DataFrame, settings: Settings, faces: DataFrame) -> DataFrame:
+    """(image_id, face_index, person_id) of the faces of these images; null where a face has no person."""
+    known = faces.select("image_id", "face_index", "embedding").join(inputs.select("image_id", "ord"), "image_id")
+    placed = with_position(known, F.col("ord"), F.col("face_index"), name="_face")
+    found = cluster_faces(placed, "_face", "embedding", settings.person_similarity)
+    return placed.select("image_id", "face_index", "_face").join(found, "_face", "left").select("image_id", "face_index", "person_id")
+
+
 def members(df: DataFrame, group: str, order: str, member: str) -> DataFrame:
     """A group's members in order, as an array; rows without a group are left out."""
     lists = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, member))).alias("_m"))

@@ -466,7 +466,12 @@ def duplicate_groups(spark, d):
 @query(DUPES + ", sc AS (SELECT sid, min(ts) AS t FROM s GROUP BY sid HAVING count(*) >= 2), sn AS (SELECT sid, 'scene-' || row_number() OVER (ORDER BY t) AS label FROM sc) "
        "SELECT s.image_id, dn.label AS duplicate_group_id, sn.label AS scene_group_id FROM s LEFT JOIN cc ON cc.v = s.ord LEFT JOIN dn USING (root) LEFT JOIN sn USING (sid)")
 def regroup(spark, d):
-    return grouping.regroup(S.hashed(spark, d), LOOSE).select("image_id", "duplicate_group_id", "scene_group_id")
+    return grouping.regroup_images(S.hashed(spark, d), LOOSE).select("image_id", "duplicate_group_id", "scene_group_id")
+
+
+@query()
+def regroup_persons(spark, d):
+    return grouping.regroup_persons(S.hashed(spark, d), LOOSE, S.faces(spark, d))
 
 
 @query()

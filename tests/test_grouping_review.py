@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from photonlake.functions import predicates
 from photonlake.operators import grouping, ingest, persons, review
 from photonlake.sources import codecs
+from photonlake.settings import Settings
 from photonlake.streaming.scenes import stream_scenes
 
 H = "ord long, image_id string, ts long, phash long"
@@ -90,6 +91,21 @@ def test_duplicates_of_analysed_photos(spark, tmp_path):
     assert {r.ord: r.duplicate_group_id for r in got} == {0: "dup-1", 2: "dup-1", 1: "dup-2", 4: "dup-2"}
 
 
+def test_regroup_takes_the_person_threshold(spark):
+    inputs = spark.createDataFrame([(2, "a", 0, 0), (1, "b", 3, 0), (3, "c", 500, 1)], H)
+    rows = [("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("b", 0, [0.8, 0.6]), ("c", 0, []), ("gone", 0, [1.0, 0.0])]
+    faces = spark.createDataFrame(rows, "image_id string, face_index int, embedding array<float>")
+
+    def at(similarity, of=faces):
+        images, persons = grouping.regroup(inputs, Settings(person_similarity=similarity), of)
+        assert {r.image_id: (r.duplicate_group_id, r.scene_group_id) for r in images.collect()} == {"a": ("dup-1", "scene-1"), "b": ("dup-1", "scene-1"), "c": (None, None)}
+        return {(r.image_id, r.face_index): r.person_id for r in persons.collect()}
+
+    assert at(0.7) == {("b", 0): "person-1", ("a", 0): "person-1", ("a", 1): "person-2", ("c", 0): None}
+    assert at(0.9) == {("b", 0): "person-1", ("a", 0): "person-2", ("a", 1): "person-3", ("c", 0): None}
+    assert at(0.7, faces.where("image_id = 'b'")) == {("b", 0): None}
+
+
 def test_scenes(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([0, 60, 121, 500, 510])], "i long, t long")
     assert {r.i: r.scene_group_id for r in grouping.find_scene_groups(df, "i", "t", 60).collect()} == {0: "scene-1", 1: "scene-1", 3: "scene-2", 4: "scene-2"}
