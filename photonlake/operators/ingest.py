@@ -84,10 +84,9 @@ def shutter_seconds(text: str | None) -> float | None:
 _METRICS = {"exif": EXIF, "blur": BLUR, "exposure": EXPOSURE, "closed_eyes": CLOSED_EYES, "subject_focus": SUBJECT_FOCUS}
 SCHEMA = ("id string, path string, file_name string, file_size bigint, modified_at bigint, width int, height int, thumbnail_path string, "
           + ", ".join(f"{n} {struct(f)}" for n, f in _METRICS.items()) + ", phash binary, embeddings array<array<float>>")
-#: Formats that the JVM's image reader decodes, as a glob that looks at no case; bytes read for a file's EXIF alone.
+#: Formats that the JVM's image reader decodes, as a glob that looks at no case.
 JVM_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[tT][iI][fF],[tT][iI][fF][fF]}"
 JVM_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff")
-HEAD_BYTES = 1 << 18
 
 
 def _arrow_schema():
@@ -146,7 +145,7 @@ def _analyse_decoded(spark: SparkSession, root: str, detector: Detector, thumb_d
                 out |= {"path": os.path.join(root, inside), "file_name": os.path.basename(real), "file_size": stat.st_size, "modified_at": max(0, int(stat.st_mtime))}
                 out["id"] = hashlib.sha256(out["path"].encode() + out["modified_at"].to_bytes(8, "little")).hexdigest()
                 with open(real, "rb") as f:
-                    out["exif"] = exif.read_exif(f.read(HEAD_BYTES))
+                    out["exif"] = exif.read_exif(exif.Seeked(f))
                 h, w, n = h.as_py(), w.as_py(), n.as_py()
                 if h > 0 and w > 0:
                     pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)

@@ -12,15 +12,32 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 FIELDS = ("date_time_original", "gps_lat", "gps_lng", "camera_make", "camera_model", "focal_length_mm", "aperture", "iso", "shutter_speed", "orientation")
 
 
-def _container(data: bytes) -> bytes | None:
+class Seeked:
+    """Slices of an open file, read where they lie, so what isn't asked for isn't read."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.seek(0, 2)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.size)
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+
+def _container(data: bytes | Seeked) -> bytes | Seeked | None:
     """The TIFF structure of a JPEG's APP1 segment, or of the file itself."""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
     if data[:2] != b"\xff\xd8":
         return None
     at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+    while at + 4 <= len(data):
+        mark, marker, size = struct.unpack(">BBH", data[at : at + 4])
+        if mark != 0xFF:
+            return None
         if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
             return data[at + 10 : at + 2 + size]
         if marker == 0xDA:
@@ -29,20 +46,20 @@ def _container(data: bytes) -> bytes | None:
     return None
 
 
-def _directory(tiff: bytes, order: str, at: int) -> dict:
+def _directory(tiff: bytes | Seeked, order: str, at: int) -> dict:
     """Values by tag: text, or lists of numbers, rationals as (numerator, denominator)."""
     out = {}
     if at <= 0 or at + 2 > len(tiff):
         return out
-    for i in range(struct.unpack_from(f"{order}H", tiff, at)[0]):
+    for i in range(struct.unpack(f"{order}H", tiff[at : at + 2])[0]):
         entry = at + 2 + 12 * i
         if entry + 12 > len(tiff):
             break
-        tag, kind, count = struct.unpack_from(f"{order}HHI", tiff, entry)
+        tag, kind, count = struct.unpack(f"{order}HHI", tiff[entry : entry + 8])
         size = _SIZES.get(kind, 0) * count
         if not size:
             continue
-        place = entry + 8 if size <= 4 else struct.unpack_from(f"{order}I", tiff, entry + 8)[0]
+        place = entry + 8 if size <= 4 else struct.unpack(f"{order}I", tiff[entry + 8 : entry + 12])[0]
         raw = tiff[place : place + size]
         if len(raw) < size:
             continue
@@ -89,14 +106,14 @@ def _plain(text) -> str | None:
     return text.replace('"', "").strip() if isinstance(text, str) else None
 
 
-def read_exif(data: bytes) -> dict | None:
-    """The fields of ``FIELDS``; null where the file has no EXIF."""
+def read_exif(data: bytes | Seeked) -> dict | None:
+    """The fields of ``FIELDS``, of a file's bytes or of an open file; null where it has no EXIF."""
     try:
         tiff = _container(data)
         if tiff is None or len(tiff) < 8 or tiff[:2] not in (b"II", b"MM"):
             return None
         order = "<" if tiff[:2] == b"II" else ">"
-        main = _directory(tiff, order, struct.unpack_from(f"{order}I", tiff, 4)[0])
+        main = _directory(tiff, order, struct.unpack(f"{order}I", tiff[4:8])[0])
         pointer = lambda tag: int(main[tag][0]) if isinstance(main.get(tag), list) and main[tag] else 0
         exif, gps = _directory(tiff, order, pointer(EXIF_AT)), _directory(tiff, order, pointer(GPS_AT))
         iso, turn = _number(exif.get(ISO)), _number(main.get(ORIENTATION))

@@ -1,6 +1,7 @@
 """Scanning and analysing real files: names that Spark hides, links, broken photos, thumbnails, deletion."""
 
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -115,6 +116,47 @@ def test_jvm_decoder(spark, tmp_path):
             assert a.exposure.mean_luminance == pytest.approx(b.exposure.mean_luminance, abs=0.01)
 
 
+def tiff_with_directory_at_end(order, pixels):
+    """Gray TIFF whose directories (size, strip, orientation, EXIF with an aperture and a date) follow the pixels."""
+    h, w = pixels.shape
+    date = b"2024:05:06 07:08:09\0"
+    at = 8 + h * w
+    at += at % 2
+    exif_at = at + 2 + 12 * 10 + 4
+    values_at = exif_at + 2 + 12 * 2 + 4
+
+    def entry(tag, kind, count, value):
+        return struct.pack(f"{order}HHI", tag, kind, count) + (struct.pack(f"{order}HH", value, 0) if kind == 3 else struct.pack(f"{order}I", value))
+
+    main = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (274, 3, 1, 6), (278, 4, 1, h), (279, 4, 1, h * w), (0x8769, 4, 1, exif_at)]
+    sub = [(0x829D, 5, 1, values_at), (0x9003, 2, len(date), values_at + 8)]
+    out = {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(f"{order}I", at) + pixels.tobytes()
+    out = out.ljust(at, b"\0")
+    for entries in (main, sub):
+        out += struct.pack(f"{order}H", len(entries)) + b"".join(entry(*e) for e in entries) + bytes(4)
+    return out + struct.pack(f"{order}II", 18, 10) + date
+
+
+def test_jvm_decoder_reads_exif_anywhere(spark, tmp_path):
+    y, x = np.mgrid[0:560, 0:600]
+    gray = ((x * 3 + y * 5) % 256).astype(np.uint8)
+    files = {f"{k}.tiff": tiff_with_directory_at_end(order, gray) for k, order in enumerate("<>")}
+    tiny = tiff_with_directory_at_end("<", gray[:2, :2])
+    jpeg = java_jpeg(spark, np.stack([gray[:64, :80]] * 3, axis=2))
+    app2 = b"\xff\xe2" + struct.pack(">H", 60_002) + bytes(60_000)
+    files["late.jpg"] = jpeg[:2] + app2 * 5 + b"\xff\xe1" + struct.pack(">H", len(tiny) + 8) + b"Exif\0\0" + tiny + jpeg[2:]
+    for name, data in files.items():
+        assert len(data) > 300_000
+        (tmp_path / name).write_bytes(data)
+    kinds = [{r.file_name: r for r in ingest.analyse_photos(spark, str(tmp_path), jvm_decoder=k).collect()} for k in (False, True)]
+    for name in files:
+        a, b = kinds[0][name], kinds[1][name]
+        assert a.exif == b.exif
+        assert (b.exif.aperture, b.exif.orientation, b.exif.date_time_original) == (1.8, 6, "2024:05:06 07:08:09")
+        assert b.blur.bokeh_likely
+        assert (b.width, b.height) == ((560, 600) if name.endswith("tiff") else (64, 80))  # turned
+
+
 def test_lazy_detector_builds_once():
     built = []
 
