@@ -207,6 +207,25 @@ def test_line_dedup_tries_every_earlier_copy(spark):
     assert all(not set(passage) & set(got[100 * k + 50 + j]) for k, passage in enumerate(passages) for j in (1, 2))
 
 
+def test_line_dedup_leaves_no_long_repeated_window(spark):
+    rng = random.Random(22)
+    rows = []
+    for kinds in (10**7, 25, 12):  # of few distinct words, few lines or none end inside a passage
+        for k in range(60):
+            own = lambda: [f"y{rng.randrange(10**7)}" for _ in range(rng.randrange(1, 30))]
+            names = [f"n{rng.randrange(10**7)}" for _ in range(kinds if kinds < 100 else 99)]
+            passage = [rng.choice(names) for _ in range(51)]
+            at = len(rows)
+            rows += [(at, " ".join([*own(), *passage, *own()])), (at + 1, "\n".join([*own(), *passage, *own(), *passage, *own()]))]
+    got = {r.doc_id: r.text.split() for r in lines.dedup_lines(spark.createDataFrame(rows, DOC).repartition(3)).collect()}
+    assert got == without_repeats(rows, 32)
+    seen = set()
+    for i in sorted(got):
+        windows = [tuple(got[i][p : p + 51]) for p in range(len(got[i]) - 50)]
+        assert not seen.intersection(windows) and len(set(windows)) == len(windows)
+        seen.update(windows)
+
+
 def windows_of(words, size):
     n = min(size, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
