@@ -9,8 +9,13 @@ from ..plans.shared import materialise
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and all its v as m. Hot u: partial minima, then a join that can be split."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    """(u, v) with the least of u and all its v as m.
+
+    Of a hot u only partial minima are shuffled for the aggregate. It is by a struct, not by u itself, so the join
+    can't take its partitions over and both sides are dealt out for the join alone: then adaptive execution splits the
+    rows of a hot u over tasks and gives each the one row of its minimum.
+    """
+    least = pairs.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select(F.col("k.u").alias("w"), F.least("k.u", "m").alias("m"))
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 

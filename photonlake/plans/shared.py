@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _COUNT = itertools.count()
+#: Bytes of a side that is broadcast at most, with what a hash table takes for a row.
+BROADCAST_BYTES = 16 << 20
+_ROW_BYTES = 48
 
 
 def _shared_root(spark: SparkSession) -> str:
@@ -33,6 +36,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows in a hash table, by one aggregate over it; so for tables that are written already."""
+    width = F.lit(_ROW_BYTES + 8 * len(df.columns)).cast("bigint")
+    for f in df.schema:
+        if f.dataType.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif f.dataType.typeName() in ("array", "map"):
+            width = width + 64 * F.greatest(F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)), F.lit(0))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+def side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as the right side of a join: broadcast if its counted bytes are few, else met by a merge join."""
+    return F.broadcast(df) if counted_bytes(df) <= limit else df.hint("merge")
+
+
 def carried(df: DataFrame, key: Column, width: int, add: Column, name: str) -> DataFrame:
     """``df`` with the running sum of ``add`` in the order of ``key`` (a whole number), itself included.
 
