@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise, shared_dir
+from ..plans.shared import materialise, shared_dir, side
 
-__all__ = ["arrow_map", "bucket_of", "drop_path", "evaluated", "flat_utf8", "materialise", "mix64", "shared_dir", "slices", "span_hashes", "split_words", "table"]
+__all__ = ["TRAIN_BYTES", "arrow_map", "bucket_of", "drop_path", "evaluated", "flat_utf8", "materialise", "mix64", "sampled", "shared_dir", "side", "slices", "span_hashes", "split_words", "table", "unused"]
 
 #: Text bytes that one numpy step of an operator handles at a time; larger Arrow batches are cut.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Text bytes that a classifier is fitted on at most, but for the last document. It bounds what the driver holds.
+TRAIN_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +138,33 @@ def evaluated(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, one).select(*keep, *(F.col(f"_once.{name}").alias(name) for name in columns))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(text, y): labelled documents to fit on, a row an id, in the order of the ids' hashes until a bound is passed.
+
+    At most ``max_rows`` ids, and no document after those that come to ``max_bytes``; a null text is empty. Ids and
+    sizes of so many rows are small enough to be sent to all executors and to be summed up in one task.
+    """
+    of = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(F.max(label).cast("int").alias("y"))
+    of = of.orderBy(F.xxhash64("of"), "of").limit(max_rows)
+    text = F.coalesce("text", F.lit(""))
+    met = docs.select("doc_id", text.alias("text")).join(F.broadcast(of), F.col("doc_id") == F.col("of"))
+    met = materialise(met.groupBy("of", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    before = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = met.select(F.col("of").alias("id"), F.xxhash64("of").alias("h"), F.octet_length("text").cast("bigint").alias("n"))
+    within = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_bytes).select("id")
+    return met.join(F.broadcast(within), F.col("of") == F.col("id"), "left_semi").select("text", "y")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names with underscores before them, as many as make them no column of ``df`` (case doesn't count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm

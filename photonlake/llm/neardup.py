@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_map, flat_utf8, materialise, mix64, slices, span_hashes, split_words
+from .common import arrow_map, flat_utf8, materialise, mix64, side, span_hashes, split_words, unused
 
 COORDS = 64
 TREES = 8
@@ -29,8 +29,12 @@ SMALL = 48
 DEPTH = 5
 #: Documents of a node that one task takes; larger nodes are branched by Spark.
 LARGE = 50_000
+#: Stars that a comparing task gathers before it hands them out.
+HELD_LINKS = 2_000_000
 #: Shingles that one side of a confirming task holds at most (8 bytes each); larger clusters are cut into blocks.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_000_000
+#: Rounds in which a cluster of several blocks is compared with a leader each, before its blocks meet.
+LEADERS = 4
 #: How far below the threshold the share of equal minwise tokens may be (over four deviations).
 MARGIN = 0.35
 #: Of a node's leader: documents at CORE or more leave the node, as all that could link to them are at REACH or more.
@@ -107,7 +111,7 @@ def minwise(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document: size and keys of its set, 16 bits of each minwise token, and its node in each tree's first level."""
+    """Of each document (doc_id, text, tk): size and keys of its set, 16 bits of each minwise token, and its node in each tree's first level."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, at = shingle_sets(*flat_utf8(batch.column(1)), k)
@@ -120,16 +124,35 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
             roots = mix64(tokens[:, coords] + np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * COORDS).astype(np.int32)), pa.py_buffer(sig)])
         lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * TREES).astype(np.int32)), pa.array(roots.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(k1), pa.array(k2), binary, lists], names=["doc_id", "n_shingles", "k1", "k2", "sig", "roots"])
+        cols = [batch.column(0), batch.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(k1), pa.array(k2), binary, lists]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "tk", "n_shingles", "k1", "k2", "sig", "roots"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {id_type}, n_shingles bigint, k1 bigint, k2 bigint, sig binary, roots array<bigint>", "text")
+    return arrow_map(docs.select("doc_id", "text", "tk"), run, f"doc_id {id_type}, tk bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, roots array<bigint>", "text")
 
 
-def _stars(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, least member) rows of groups given by a label for each place."""
-    on = np.flatnonzero(label != np.arange(len(label)))
-    return on, label[on]
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that links (a, b) reach."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    return label
+
+
+def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ids as stars: each id once at most, with the least id that it reaches."""
+    names, place = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
+    label = least_labels(len(names), place[: len(a)], place[len(a) :])
+    on = np.flatnonzero(label != np.arange(len(names)))
+    return names[on], names[label[on]]
 
 
 class _Nodes:
@@ -220,8 +243,10 @@ def _selected(seed: int) -> list[int]:
 
 
 def _compare_nodes(nodes: DataFrame, cut: float) -> DataFrame:
-    """Stars (a, b) from nodes (key, depth, id, sig), each of a size that a task can hold."""
-    id_type = nodes.schema["id"].dataType.simpleString()
+    """Stars (a, b) from nodes (key, depth, id, sig), each of a size that a task can hold.
+
+    A task joins the stars of its nodes up (of ``HELD_LINKS`` at a time), so it hands out a row for each of its ids at most.
+    """
     dealt = nodes.repartition("key").sortWithinPartitions("key", "id")
 
     def solve(key, depth, ids, sigs):
@@ -234,11 +259,16 @@ def _compare_nodes(nodes: DataFrame, cut: float) -> DataFrame:
             work.large_node(np.arange(starts[i], starts[i] + sizes[i]), int(key[starts[i]]), int(depth[starts[i]]))
         a = np.concatenate([x[0] for x in work.found] + [np.zeros(0, int)]).astype(int)
         b = np.concatenate([x[1] for x in work.found] + [np.zeros(0, int)]).astype(int)
-        pairs = np.unique(np.stack([ids[a], ids[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), ids.dtype)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return _stars(ids, a, b)
+
+    def joined(stars):
+        a, b = (np.concatenate([x[k] for x in stars]) for k in range(2))
+        return _stars(np.concatenate([a, b]), np.arange(len(a)), np.arange(len(a), 2 * len(a)))
 
     def run(batches):
         held: list[tuple] = []
+        stars: list[tuple] = []
+        whole = lambda: solve(*(np.concatenate([h[k] for h in held]) for k in range(4)))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -250,12 +280,17 @@ def _compare_nodes(nodes: DataFrame, cut: float) -> DataFrame:
                 held.append((key, depth, ids, sigs))
                 continue
             held.append((key[:last], depth[:last], ids[:last], sigs[:last]))
-            yield solve(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            stars.append(whole())
             held = [(key[last:], depth[last:], ids[last:], sigs[last:])]
+            if sum(len(x[0]) for x in stars) > HELD_LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined(stars)], names=["a", "b"])
+                stars = []
         if held:
-            yield solve(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            stars.append(whole())
+        if stars:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined(stars)], names=["a", "b"])
 
-    return dealt.select("key", "depth", "id", "sig").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return dealt.select("key", "depth", "id", "sig").mapInArrow(run, "a bigint, b bigint")
 
 
 def _equal_tokens(one: str, other: str):
@@ -298,142 +333,248 @@ def _split_large(nodes: DataFrame, cut: float, large: int) -> tuple[DataFrame, l
     return out, stars
 
 
+def _common(codes: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(mark[codes], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+
+
 def link_components(flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """For each set, the least place that can be reached by links ``100 * common >= percent * union``."""
-    n = len(at) - 1
-    size = np.diff(at)
-    _, code = np.unique(flat, return_inverse=True)
-    mark = np.zeros(int(code.max(initial=-1)) + 1, np.int32)
+    """For each set (none empty), the least place that can be reached by links ``100 * common >= percent * union``.
+
+    Shingles are ordered from rare to frequent. Two sets that link share one among the first ``size - need + 1`` of
+    each, need being the least that they must share, so only sets that meet in a list of those are compared. Sets
+    that are reached leave the lists, so a group of near copies costs little more than its size.
+    """
+    n, size = len(at) - 1, np.diff(at)
     label = np.arange(n)
-    left = np.arange(n)
-
-    def gather(rows):
-        lens = size[rows]
-        starts = np.cumsum(lens) - lens
-        return code[np.repeat(at[rows] - starts, lens) + np.arange(int(lens.sum()))], starts
-
-    def links(x: int, codes, starts, rows):
-        own = code[at[x] : at[x + 1]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[codes], starts)
-        mark[own] = 0
-        return 100 * common >= percent * (size[rows] + size[x] - common)
-
-    while len(left) > 1:
-        head, left = int(left[0]), left[1:]
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    alone = int((times == 1).sum())  # codes below are of one set only
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(owner * np.int64(len(times)) + rank[code])
+    code = rank[code][order].astype(np.int32)
+    del rank, order
+    prefix = size - -(-percent * size // 100) + 1
+    early = (np.arange(len(code)) - np.repeat(at[:-1], size) < np.repeat(prefix, size)) & (code >= alone)
+    place = np.flatnonzero(early)
+    listed, who = code[place], owner[place]
+    by = np.argsort(listed, kind="stable")
+    listed, who = listed[by], who[by]
+    cuts = np.flatnonzero(np.diff(listed)) + 1
+    lists = dict(zip(listed[np.concatenate([[0], cuts])].tolist() if len(listed) else [], np.split(who, cuts), strict=True)) if len(listed) else {}
+    own = [listed[:0]] * n
+    if len(place):
+        ends = np.searchsorted(owner[place], np.arange(n + 1))
+        own = [code[place[x:y]] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    mark, alive = np.zeros(len(times), bool), np.ones(n, bool)
+    for head in range(n):
+        if not alive[head]:
+            continue
+        alive[head] = False
         queue = [head]
-        codes, starts = gather(left)
-        packed = left
-        alive = np.ones(len(left), bool)
-        while queue and alive.any():
-            if alive.sum() * 2 < len(packed):
-                packed = packed[alive]
-                codes, starts = gather(packed)
-                alive = np.ones(len(packed), bool)
+        while queue:
             x = queue.pop()
-            hit = links(x, codes, starts, packed) & alive
-            new = packed[hit]
-            label[new] = head
-            queue.extend(new.tolist())
-            alive &= ~hit
-        left = packed[alive]
+            met = []
+            for c in own[x].tolist():
+                left = lists[c]
+                left = left[alive[left]]
+                lists[c] = left
+                met.append(left)
+            rows = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+            rows = rows[100 * np.minimum(size[rows], size[x]) >= percent * np.maximum(size[rows], size[x])]
+            if not len(rows):
+                continue
+            mark[code[at[x] : at[x + 1]]] = True
+            for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // GATHERED)) + 1):
+                lens = size[part]
+                starts = np.cumsum(lens) - lens
+                common = _common(code[np.repeat(at[part] - starts, lens) + np.arange(int(lens.sum()))], starts, mark)
+                new = part[100 * common >= percent * (lens + size[x] - common)]
+                label[new] = head
+                alive[new] = False
+                queue.extend(new.tolist())
+            mark[code[at[x] : at[x + 1]]] = False
     return label
 
 
+#: Shingles that are gathered at a time when a set is compared with others.
+GATHERED = 1 << 18
+
+
+def _shingles_of(texts: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, cluster, n, shingles) of the members: their sets, 8 bytes a shingle, in order. Repeated rows stay repeated."""
+    joined = texts.join(side(members), (F.col("doc_id") == F.col("of")) & (F.col("tk") == F.col("text_key")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, at = shingle_sets(*flat_utf8(batch.column(0)), k)
+        body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(at)), body], names=["id", "cluster", "n", "shingles"])
+
+    return arrow_map(joined.select("text", "id", "cluster"), run, "id bigint, cluster bigint, n bigint, shingles binary", "text")
+
+
+def _led(sets: DataFrame) -> DataFrame:
+    """(id, cluster, n, shingles, leader, common): each set of a large cluster beside the cluster's leader."""
+    lead = sets.groupBy("cluster").agg(F.min(F.struct("linked", "id")).alias("x")).select(F.col("cluster").alias("c"), F.col("x.id").alias("leader"))
+    lead = sets.join(side(materialise(lead)), (F.col("cluster") == F.col("c")) & (F.col("id") == F.col("leader")))
+    lead = materialise(lead.dropDuplicates(["c"]).select("c", "leader", F.col("shingles").alias("first")))
+    joined = sets.drop("linked").join(side(lead), F.col("cluster") == F.col("c"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cluster = batch.column(1).to_numpy()
+        body, at = flat_utf8(batch.column(3))
+        flat, at = body.view(np.uint64), at // 8
+        common = np.zeros(batch.num_rows, np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cluster)) + 1, [batch.num_rows]])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first = np.frombuffer(batch.column(5)[x].as_buffer(), np.uint64)
+            own = flat[at[x] : at[y]]
+            where = np.minimum(np.searchsorted(first, own), len(first) - 1)
+            common[x:y] = np.add.reduceat(first[where] == own, at[x:y] - at[x], dtype=np.int64)
+        size = np.array([len(batch.column(5)[int(x)].as_buffer()) // 8 for x in cuts[:-1]], np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.repeat(size, np.diff(cuts))), pa.array(common)], names=["id", "cluster", "n", "shingles", "leader", "size", "common"])
+
+    return arrow_map(joined.select("id", "cluster", "n", "shingles", "leader", "first"), run, "id bigint, cluster bigint, n bigint, shingles binary, leader bigint, size bigint, common bigint", "shingles")
+
+
 def _confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Stars (a, b) of true links: the sets of each cluster's documents meet in a task, or block by block in several.
+    """Stars (a, b) of true links between the members of a cluster, by their full sets.
 
-    members: id, k1, k2, n_shingles, cluster. A cluster of over ``block`` shingles is dealt into blocks by id, and
-    each two of its blocks meet in one task, so no task holds more than two.
+    members: id, of and text_key (whose row has the set), n_shingles, cluster. A cluster of at most ``block`` shingles
+    is a task's. In a larger one all meet a leader first, a join that adaptive execution can split. One minus the
+    similarity is a metric, so those that are closer to the leader than all that don't link with it, by more than a
+    link is long, can have no link but into the leader's component, and leave. What is left after ``LEADERS`` rounds
+    is dealt into blocks by id, and each two blocks meet in one task.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    weight = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).select(F.col("cluster").alias("c"), F.ceil(F.col("w") / block).cast("int").alias("blocks"))
-    placed = members.join(weight, F.col("cluster") == F.col("c")).select("id", "k1", "k2", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
-    texts = docs.select(F.col("doc_id"), F.col("text")).hint("merge").join(placed, F.col("doc_id") == F.col("id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = texts.select("id", "text", "k1", "k2", "cluster", "own", other)
-    met = met.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "text", "k1", "k2")
+    sets = materialise(_shingles_of(docs, members, k).withColumn("linked", F.lit(False)))
+    stars, done = [], []
+    for _ in range(LEADERS):
+        large = materialise(sets.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") > block).select(F.col("cluster").alias("big")))
+        if large.isEmpty():
+            break
+        marked = sets.join(side(large), F.col("cluster") == F.col("big"), "left")
+        done.append(marked.where("big is null").drop("big"))
+        led = materialise(_led(marked.where("big is not null").drop("big")))
+        led = led.withColumn("link", 100 * F.col("common") >= percent * (F.col("n") + F.col("size") - F.col("common")))
+        led = led.withColumn("far", 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common")))
+        stars.append(led.where("link and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        rest = materialise(led.where("not link").groupBy("cluster").agg(F.min("far").alias("least")).withColumnRenamed("cluster", "c"))
+        led = led.where("id <> leader").join(side(rest), F.col("cluster") == F.col("c"))
+        led = led.where(~F.col("link") | (F.col("far") >= F.col("least") - (1 - percent / 100) - 1e-9))
+        sets = materialise(led.select("id", "cluster", "n", "shingles", F.col("link").alias("linked")))
+    for x in done:
+        sets = sets.union(x)
+    weight = sets.groupBy("cluster").agg(F.sum("n").alias("w")).select(F.col("cluster").alias("c"), F.ceil(F.col("w") / block).cast("int").alias("blocks"))
+    placed = sets.join(weight, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "shingles")
     met = met.repartition("task").sortWithinPartitions("task", "id")
 
     def solve(held):
-        if not held:
-            return pa.RecordBatch.from_arrays([pa.array([], pa_id[0]), pa.array([], pa_id[0])], names=["a", "b"])
-        ids = np.concatenate([h[0] for h in held])
-        flat = np.concatenate([h[1] for h in held])
-        size = np.concatenate([h[2] for h in held])
+        ids, flat, size = (np.concatenate([h[k] for h in held]) for k in range(3))
         label = link_components(flat, np.concatenate([[0], np.cumsum(size)]), percent)
-        a, b = _stars(label)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a], pa_id[0]), pa.array(ids[b], pa_id[0])], names=["a", "b"])
-
-    pa_id = [pa.int64()]
+        on = np.flatnonzero(label != np.arange(len(label)))
+        return ids[on], ids[label[on]]
 
     def run(batches):
-        held, now = [], None
+        held, now, a, b = [], None, [], []
         for batch in batches:
-            for piece in slices(batch, "text"):
-                pa_id[0] = piece.column(1).type
-                task, ids, want1, want2 = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-                flat, at = shingle_sets(*flat_utf8(piece.column(2)), k)
-                k1, k2 = set_keys(flat, at)
-                ok = (k1 == want1) & (k2 == want2)  # of rows that repeat an id, those with the member's text
-                ok[1:] &= (ids[1:] != ids[:-1]) | (task[1:] != task[:-1]) | ~ok[:-1]
-                for i in np.flatnonzero(ok):
-                    if task[i] != now:
-                        if held:
-                            yield solve(held)
-                        held, now = [], task[i]
-                    held.append((ids[i : i + 1], flat[at[i] : at[i + 1]], np.array([at[i + 1] - at[i]])))
+            task, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            body, at = flat_utf8(batch.column(2))
+            flat, at = body.view(np.uint64), at // 8
+            cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and task[x] != now:
+                    got = solve(held)
+                    a.append(got[0]), b.append(got[1])
+                    held = []
+                now = task[x]
+                fresh = np.ones(y - x, bool)  # of repeated rows one
+                fresh[1:] = ids[x + 1 : y] != ids[x : y - 1]
+                if held and held[-1][0][-1] == ids[x]:
+                    fresh &= ids[x:y] != ids[x]
+                size = np.diff(at[x : y + 1])
+                held.append((ids[x:y][fresh], flat[at[x] : at[y]][np.repeat(fresh, size)], size[fresh]))
+                if not fresh.any():
+                    held.pop()
         if held:
-            yield solve(held)
+            got = solve(held)
+            a.append(got[0]), b.append(got[1])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return met.select("task", "id", "text", "k1", "k2").mapInArrow(run, f"a {id_type}, b {id_type}")
+    out = met.mapInArrow(run, "a bigint, b bigint")
+    for x in stars:
+        out = out.union(x)
+    return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, large: int = LARGE, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
-
-    Takes ``doc_id`` (of an integer type) and ``text``; other columns are not read. Words are runs of bytes other than
-    ASCII white space, A-Z lower-cased; a text of fewer than ``k`` words, but not none, has one shingle, the whole.
-    Returns per row: ``doc_id``, ``n_shingles``, ``component_id`` (the least doc_id that links reach) and ``kept``
-    (doc_id = component_id). Texts that are null, empty or without words have no shingles and link with nothing,
-    and so do rows whose doc_id is null: these have a null component and are kept. Repeated rows give repeated
-    results. An empty table gives an empty result.
+def _grouped(docs: DataFrame, k: int, percent: int, large: int, block: int) -> DataFrame:
+    """Per row: doc_id, tk (the text's hash), n_shingles, component_id, and whether the row's text is its component's first.
 
-    Documents with equal sets form a class; its least doc_id alone goes through the join.
+    Texts with equal sets form a class, a node of its own in whatever rows it occurs; classes link, not ids. A
+    component's first text is that of its least (doc_id, keys).
     """
+    docs = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"))
     sketch = materialise(_sketch(docs, k))
     able = sketch.where("doc_id is not null and n_shingles > 0")
-    reps = able.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "roots")).alias("x"))
-    reps = materialise(reps.select(F.col("x.doc_id").alias("id"), "k1", "k2", "n_shingles", F.col("x.sig").alias("sig"), F.col("x.roots").alias("roots")))
+    reps = able.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "tk", "sig", "roots")).alias("x"), F.count("*").alias("copies"))
+    # Numbers that hold because they are written down.
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n_shingles", "copies", F.col("x.doc_id").alias("of"), F.col("x.tk").alias("text_key"), F.col("x.sig").alias("sig"), F.col("x.roots").alias("roots"))
+    reps = materialise(reps)
     nodes = reps.select(F.explode("roots").alias("key"), F.lit(1).alias("depth"), "id", "sig")
     cut = percent / 100 - MARGIN
     nodes, stars = _split_large(nodes, cut, large)
     found = _compare_nodes(nodes, cut)
     for s in stars:
         found = found.union(s)
-    clusters = connected_components(found)
-    members = reps.drop("sig", "roots").join(clusters, F.col("id") == F.col("node")).select("id", "k1", "k2", "n_shingles", F.col("component").alias("cluster"))
-    links = _confirm(docs, materialise(members), k, percent, block)
-    components = connected_components(links)
-    linked = reps.select("k1", "k2", "n_shingles", F.col("id").alias("rep")).join(components, F.col("rep") == F.col("node"), "left")
-    classes = linked.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "rep").alias("component"))
-    own = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn"))
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(classes, own, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    clusters = materialise(connected_components(found))
+    named = reps.select("id", "of", "text_key", "n_shingles", "k1", "k2", "copies")
+    members = materialise(named.join(side(clusters), F.col("id") == F.col("node")).select("id", "of", "text_key", F.col("component").alias("cluster")))
+    components = materialise(connected_components(_confirm(docs, members, k, percent, block)))
+    linked = named.join(side(components), F.col("id") == F.col("node"), "left")
+    linked = materialise(linked.where("component is not null or copies > 1").select(F.coalesce("component", "id").alias("component"), "of", "k1", "k2", "n_shingles"))
+    firsts = materialise(linked.groupBy("component").agg(F.min(F.struct("of", "k1", "k2")).alias("x")).select(F.col("component").alias("c"), "x"))
+    classes = linked.join(side(firsts), F.col("component") == F.col("c"))
+    first = (F.col("k1") == F.col("x.k1")) & (F.col("k2") == F.col("x.k2"))
+    classes = materialise(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n_shingles").alias("cn"), F.col("x.of").alias("least"), first.alias("first")))
+    own = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")) & F.col("doc_id").isNotNull()
+    out = sketch.select("doc_id", "tk", "n_shingles", "k1", "k2").join(side(classes), own, "left")
+    return out.select("doc_id", "tk", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, large: int = LARGE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Takes ``doc_id`` (of an integer type) and ``text``; other columns are not read. Words are runs of bytes other than
+    ASCII white space, A-Z lower-cased; a text of fewer than ``k`` words, but not none, has one shingle, the whole.
+    Returns per row: ``doc_id``, ``n_shingles``, ``component_id`` (the least doc_id that links reach) and ``kept``
+    (doc_id = component_id). Texts that are null, empty or without words have no shingles and link with nothing,
+    and so do rows whose doc_id is null: these have a null component and are kept. Repeated rows give repeated
+    results; rows that repeat a doc_id with another text are documents of their own, each in its text's component.
+    An empty table gives an empty result.
+
+    Documents with equal sets form a class; one of them alone goes through the join.
+    """
+    out = _grouped(docs, k, percent, large, block)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that :func:`near_duplicates` doesn't keep.
+    """The rows of ``docs``, all columns, without all but one row of each group of :func:`near_duplicates`.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id, and texts without words, all stay.
+    Of a group the row with the least doc_id stays; where several texts or rows have that id, the text with the least
+    keys, and of rows that are equal in doc_id and text one. Other rows that repeat a doc_id stay if their own
+    group keeps them. Rows with a null doc_id stay, and so do texts without words, but for all but one of those
+    that are equal in doc_id and text.
     """
-    found = near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
-    found = materialise(found)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
-    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
-    out = docs.hint("merge").join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    if not found.where("kept and n > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    found = materialise(_grouped(docs, k, percent, LARGE, BLOCK_SHINGLES).where("doc_id is not null"))
+    stays = F.col("first") & (F.col("doc_id") == F.col("component_id"))
+    gone_id, gone_key = unused(docs, "gone_id", "gone_key")
+    gone = materialise(found.where(~stays).select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_key)).distinct())
+    key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    out = docs.join(side(gone), (docs["doc_id"] == F.col(gone_id)) & (key == F.col(gone_key)), "left_anti")
+    twice = found.where(stays).groupBy("doc_id", "tk").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        out = out.where(out["doc_id"].isNotNull()).dropDuplicates(["doc_id", "text"]).union(out.where(out["doc_id"].isNull()))
     return out
