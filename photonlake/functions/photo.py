@@ -145,12 +145,15 @@ def hamming_binary(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision, as far as the shorter goes; 0 where a norm is 0."""
+    """Cosine of two vectors in double precision; 0 where a norm is 0.
+
+    Norms are of whole vectors; of unequal lengths the product goes as far as the shorter.
+    """
     n = F.least(F.size(a), F.size(b))
-    a, b = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / F.when(norm > 0, norm).otherwise(1.0)).otherwise(0.0)
+    product = dot(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))
+    return F.when(norm > 0, product / F.when(norm > 0, norm).otherwise(1.0)).otherwise(0.0)
 
 
 def vector_stats(v: Column) -> Column:

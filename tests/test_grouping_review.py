@@ -146,6 +146,34 @@ def test_persons(spark, vectors, want):
     assert got == {i: f"person-{w}" for i, w in enumerate(want) if w}
 
 
+def plain_persons(vectors, threshold):
+    label = persons.average_linkage([np.asarray(v, np.float32) for v in vectors], threshold)
+    number = {first: i + 1 for i, first in enumerate(sorted(set(label.tolist())))}
+    return {i: f"person-{number[x]}" for i, x in enumerate(label.tolist())}
+
+
+def test_persons_in_blocks_and_libraries(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(7, 8))
+    vectors = [(centres[rng.integers(7)] + rng.normal(size=8) * 0.5).tolist() for _ in range(90)] + [[0.0] * 8, [1.0, 2.0]]
+    want = plain_persons(vectors, 0.65)
+    assert len(set(want.values())) > 5
+    df = spark.createDataFrame(list(enumerate(vectors)), "o long, e array<float>")
+    for block in (1024, 7):
+        assert {r.o: r.person_id for r in persons.cluster_faces(df, "o", "e", 0.65, block=block).collect()} == want
+    two = df.withColumn("who", F.when(F.col("o") < 40, "a").when(F.col("o") < 91, "b"))
+    got = {r.o: r.person_id for r in persons.cluster_faces(two, "o", "e", 0.65, library="who", block=7).collect()}
+    parts = [plain_persons(vectors[:40], 0.65), plain_persons(vectors[40:91], 0.65)]
+    assert got == parts[0] | {i + 40: p for i, p in parts[1].items()}  # the third library has one face: no person
+
+
+def test_unequal_lengths():
+    sim = persons.similarity_matrix([np.array([3.0, 4.0]), np.array([3.0, 4.0, 12.0]), np.array([0.0])])
+    assert sim[0, 1] == pytest.approx(25 / 65)
+    assert sim[0, 2] == 0
+    assert sim.diagonal().tolist() == [1, 1, 1]
+
+
 def test_average_linkage_like_a_plain_version():
     rng = np.random.default_rng(0)
     for n in (2, 5, 30):
