@@ -36,22 +36,37 @@ def orient(raster: np.ndarray, orientation: int | None) -> np.ndarray:
     return np.ascontiguousarray(flips.get(orientation or 1, lambda r: r)(raster))
 
 
-def _triangle_weights(src: int, dst: int) -> np.ndarray:
-    """(dst, src) weights of a triangle filter whose support widens with the reduction."""
+def _triangle_taps(src: int, dst: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dst, taps) places and weights of a triangle filter whose support widens with the reduction."""
     scale = src / dst
     reach = max(scale, 1.0)
     centre = (np.arange(dst) + 0.5) * scale
-    w = 1 - np.abs(np.arange(src)[None, :] + 0.5 - centre[:, None]) / reach
-    w = np.clip(w, 0, None)
-    return w / w.sum(axis=1, keepdims=True)
+    at = np.floor(centre - reach).astype(int)[:, None] + np.arange(int(np.ceil(2 * reach)) + 2)
+    w = np.clip(1 - np.abs(at + 0.5 - centre[:, None]) / reach, 0, None)
+    w[(at < 0) | (at >= src)] = 0
+    return np.clip(at, 0, src - 1), w / w.sum(axis=1, keepdims=True)
+
+
+def _resampled(raster: np.ndarray, size: int) -> np.ndarray:
+    """The raster with another number of rows. A tap at a time, so no wide copy of the source is made."""
+    if raster.shape[0] == size:
+        return raster
+    at, w = _triangle_taps(raster.shape[0], size)
+    if size < at.shape[1]:  # few rows of many taps each
+        dense = np.zeros((size, raster.shape[0]))
+        np.add.at(dense, (np.arange(size)[:, None], at), w)
+        return np.tensordot(dense, raster.astype(np.float64), axes=(1, 0))
+    out = np.zeros((size, *raster.shape[1:]))
+    for t in range(at.shape[1]):
+        out += raster[at[:, t]] * w[:, t].reshape(-1, *[1] * (raster.ndim - 1))
+    return out
 
 
 def resize(raster: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Separable triangle-filter convolution to a size."""
-    flat = raster.astype(np.float64)
-    out = np.tensordot(_triangle_weights(raster.shape[0], height), flat, axes=(1, 0))
-    out = np.moveaxis(np.tensordot(_triangle_weights(raster.shape[1], width), out, axes=(1, 1)), 0, 1)
-    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+    """Separable triangle-filter convolution to a size. Halves are rounded up, whatever the order of the sums."""
+    out = _resampled(raster, height)
+    out = _resampled(np.ascontiguousarray(out.swapaxes(0, 1)), width).swapaxes(0, 1)
+    return np.ascontiguousarray(np.clip(np.floor(out + (0.5 + 1e-6)), 0, 255).astype(np.uint8))
 
 
 def fit_within(width: int, height: int, longest: int) -> tuple[int, int]:
@@ -66,6 +81,20 @@ def shrink(raster: np.ndarray, longest: int) -> np.ndarray:
     return raster if max(w, h) <= longest else resize(raster, *fit_within(w, h, longest))
 
 
+def halved(raster: np.ndarray, longest: int) -> np.ndarray:
+    """Means of squares of 2, 4 or 8 pixels a side, as many as leave the longest side at ``longest`` or more.
+
+    What a scaled JPEG decode gives: the mean of a square is its block's lowest frequency.
+    """
+    for _ in range(3):
+        if max(raster.shape[:2]) // 2 < longest or min(raster.shape[:2]) < 2:
+            break
+        h, w = (n // 2 * 2 for n in raster.shape[:2])
+        rows = raster[:h:2].astype(np.uint16) + raster[1:h:2]
+        raster = ((rows[:, :w:2] + rows[:, 1:w:2] + 2) >> 2).astype(np.uint8)
+    return raster
+
+
 def laplacian(gray: np.ndarray) -> np.ndarray:
     """Four neighbours minus four times the pixel, on interior pixels."""
     g = gray.astype(np.int32)

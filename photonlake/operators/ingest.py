@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import uuid
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -20,6 +21,8 @@ from ..sources.photos import discover
 
 #: Longest side of what is analysed, of a thumbnail and of a face thumbnail.
 WORK_SIZE, THUMB_SIZE, FACE_SIZE = 1024, 300, 120
+#: JPEG quality of a thumbnail and of a face thumbnail.
+THUMB_QUALITY, FACE_QUALITY = 80, 75
 #: What a detector says of an image: faces (box, openness of either eye, embedding) and salient boxes.
 Detector = Callable[[np.ndarray], dict]
 
@@ -27,16 +30,15 @@ Detector = Callable[[np.ndarray], dict]
 class LazyDetector:
     """A detector that each Python worker builds once, at its first image, and keeps: models load off the critical path."""
 
-    _built: dict[int, Detector] = {}
+    _built: dict[str, Detector] = {}
 
     def __init__(self, factory: Callable[[], Detector]):
-        self.factory = factory
+        self.factory, self.key = factory, uuid.uuid4().hex
 
     def __call__(self, pixels: np.ndarray) -> dict:
-        key = hash(self.factory.__qualname__)
-        if key not in self._built:
-            self._built[key] = self.factory()
-        return self._built[key](pixels)
+        if self.key not in self._built:
+            self._built[self.key] = self.factory()
+        return self._built[self.key](pixels)
 
 
 def no_detector(pixels: np.ndarray) -> dict:
@@ -99,6 +101,8 @@ def _arrow_schema():
 def _measured(out: dict, pixels: np.ndarray, meta: dict | None, detector: Detector, thumb_dir: str | None) -> None:
     """Fill a row from upright pixels of any size."""
     out["height"], out["width"] = pixels.shape[:2]
+    if out["path"].lower().endswith((".jpg", ".jpeg")):
+        pixels = raster.halved(pixels, WORK_SIZE)
     small = raster.shrink(pixels, WORK_SIZE)
     out |= analyse_pixels(small, meta, detector)
     if thumb_dir:
@@ -156,19 +160,20 @@ def _analyse_decoded(spark: SparkSession, root: str, detector: Detector, thumb_d
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, SCHEMA)
 
 
-def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detector, thumb_dir: str | None = None, tasks: int | None = None, jvm_decoder: bool = False) -> DataFrame:
+def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detector, thumb_dir: str | None = None, tasks: int | None = None, jvm_decoder: bool = True) -> DataFrame:
     """A row per photo below ``root``: identity, EXIF and metrics. What can't be decoded keeps its row, with null metrics.
 
     Files are listed by the data source, dealt out evenly, and opened, decoded and measured one at a time in one pass,
     so a task holds one photo. Results are narrow: no pixels leave the pass. With ``jvm_decoder`` the JVM decodes
-    the formats it reads (JPEG of any kind, PNG, TIFF), which is faster for large JPEG files; Python keeps those whose
-    names Spark hides, and other formats. With ``thumb_dir``, thumbnails are written on the way, unless they are there.
+    the formats it reads (JPEG of any kind, PNG, TIFF), which is far faster for JPEG files; Python keeps those whose
+    names Spark hides, empty files, and other formats. With ``thumb_dir``, thumbnails are written on the way, unless they are there.
     """
     found = discover(spark, root)
     files = found.select(photo.image_id(F.col("path"), F.col("modified_at")).alias("id"), "path", photo.file_name(F.col("path")).alias("file_name"), "file_size", "modified_at")
     if jvm_decoder:
         hidden = F.substring("path", len(root.rstrip("/")) + 1, 1 << 20).rlike(r"/[_.]")
-        files = files.where(hidden | ~photo.extension(F.col("path")).isin(*JVM_EXTENSIONS))
+        # Spark's reader leaves out empty files as well.
+        files = files.where(hidden | (F.col("file_size") == 0) | ~photo.extension(F.col("path")).isin(*JVM_EXTENSIONS))
     if tasks:
         files = files.repartition(tasks)
     out = _analyse_files(files, detector, thumb_dir)
@@ -176,18 +181,17 @@ def analyse_photos(spark: SparkSession, root: str, detector: Detector = no_detec
 
 
 def write_thumbnail(pixels: np.ndarray, directory: str, image_id: str) -> str:
-    """A PNG with its longest side at 300, named by the id; one that is there is left."""
-    path = os.path.join(directory, f"{image_id}_v2.png")
+    """A JPEG with its longest side at 300 or less, named by the id; one that is there is left."""
+    path = os.path.join(directory, f"{image_id}_v2.jpg")
     if not os.path.exists(path):
         os.makedirs(directory, exist_ok=True)
-        h, w = pixels.shape[:2]
-        _write_whole(path, codecs.encode_png(raster.resize(pixels, *raster.fit_within(w, h, THUMB_SIZE))))
+        _write_whole(path, codecs.encode_jpeg(raster.shrink(pixels, THUMB_SIZE), THUMB_QUALITY))
     return path
 
 
 def write_face_thumbnail(pixels: np.ndarray, box: list[float], directory: str, image_id: str, index: int) -> str:
     """A wide crop of a face at 120 pixels; one that is there is left."""
-    path = os.path.join(directory, f"{image_id[:16]}_face_{index}.png")
+    path = os.path.join(directory, f"{image_id[:16]}_face_{index}.jpg")
     if not os.path.exists(path):
         os.makedirs(directory, exist_ok=True)
         h, w = pixels.shape[:2]
@@ -195,7 +199,7 @@ def write_face_thumbnail(pixels: np.ndarray, box: list[float], directory: str, i
         left, top = int(max(0.0, x - bw * 0.2) * w), int(max(0.0, 1 - y - bh - bh * 0.2) * h)
         right, low = int(min(1.0, x + bw * 1.2) * w), int(min(1.0, 1 - y + bh * 0.2) * h)
         crop = pixels[top : max(top + 1, low), left : max(left + 1, right)]
-        _write_whole(path, codecs.encode_png(raster.resize(crop, *raster.fit_within(crop.shape[1], crop.shape[0], FACE_SIZE))))
+        _write_whole(path, codecs.encode_jpeg(raster.resize(crop, *raster.fit_within(crop.shape[1], crop.shape[0], FACE_SIZE)), FACE_QUALITY))
     return path
 
 

@@ -1,9 +1,11 @@
-"""PNG reading and writing and baseline JPEG reading in numpy, for files that Spark's own image reader leaves out."""
+"""PNG and baseline JPEG, reading and writing, in numpy: for files that Spark's own image reader leaves out, and for sinks."""
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -225,3 +227,88 @@ def decode(data: bytes) -> np.ndarray | None:
         return decode_png(data) if data[:4] == b"\x89PNG" else decode_jpeg(data)
     except (zlib.error, ValueError):
         return None
+
+
+#: The usual quantisation steps of luma and chroma at quality 50, row by row.
+LUMA_STEPS = (
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+)
+CHROMA_STEPS = (
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+)
+
+
+def _steps(base: tuple, quality: int) -> np.ndarray:
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    return np.clip((np.array(base) * scale + 50) // 100, 1, 255)
+
+
+def code_lengths(times: dict[int, int]) -> list[tuple[int, int]]:
+    """(bits, symbol) of a Huffman code of 16 bits at most, in order of codes; the code of all ones is left free."""
+    while True:
+        heap = [(n, s, (s,)) for s, n in times.items()] + [(0, 256, (256,))]
+        heapq.heapify(heap)
+        bits = dict.fromkeys([*times, 256], 0)
+        while len(heap) > 1:
+            (n1, s1, a), (n2, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            for s in a + b:
+                bits[s] += 1
+            heapq.heappush(heap, (n1 + n2, s1, a + b))
+        if max(bits.values()) <= 16:
+            return sorted((n, s) for s, n in bits.items())[:-1]  # 256, the rarest, has the last of the longest codes
+        times = {s: n // 2 + 1 for s, n in times.items()}
+
+
+def encode_jpeg(raster: np.ndarray, quality: int = 80) -> bytes:
+    """An 8-bit grey (h, w) or RGB (h, w, 3) raster as baseline JPEG, chroma whole, with Huffman codes of its own."""
+    h, w = raster.shape[:2]
+    x = raster.astype(np.float64)
+    planes = [x]
+    if x.ndim == 3:
+        r, g, b = x[..., 0], x[..., 1], x[..., 2]
+        luma = 0.299 * r + 0.587 * g + 0.114 * b
+        planes = [luma, (b - luma) / 1.772 + 128, (r - luma) / 1.402 + 128]
+    steps = [_steps(LUMA_STEPS, quality), _steps(CHROMA_STEPS, quality)]
+    found = []
+    for k, plane in enumerate(planes):
+        whole = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+        cells = whole.reshape(whole.shape[0] // 8, 8, whole.shape[1] // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+        flat = np.einsum("xu,nxy,yv->nuv", _BASIS, cells, _BASIS).reshape(-1, 64)
+        found.append(np.round(flat / steps[min(k, 1)])[:, _ORDER].astype(int))
+    symbols: list[tuple[int, int, int, int]] = []  # table, symbol, value, bits of the value
+    last = [0] * len(found)
+    for n in range(len(found[0])):
+        for k, cells in enumerate(found):
+            cell, table = cells[n], min(k, 1)
+            step, last[k] = int(cell[0]) - last[k], int(cell[0])
+            size = abs(step).bit_length()
+            symbols.append((table, size, step if step >= 0 else step + (1 << size) - 1, size))
+            at = 0
+            for i in np.flatnonzero(cell[1:]).tolist():
+                run, v = i - at, int(cell[1 + i])
+                at = i + 1
+                symbols += [(16 + table, 0xF0, 0, 0)] * (run >> 4)
+                size = abs(v).bit_length()
+                symbols.append((16 + table, (run & 15) << 4 | size, v if v >= 0 else v + (1 << size) - 1, size))
+            if at < 63:
+                symbols.append((16 + table, 0, 0, 0))
+    segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    parts, codes = [], {}
+    for table in sorted({s[0] for s in symbols}):
+        lengths = code_lengths(Counter(s[1] for s in symbols if s[0] == table))
+        code, now = 0, 0
+        for bits, symbol in lengths:
+            code <<= bits - now
+            codes[table, symbol], now, code = f"{code:0{bits}b}", bits, code + 1
+        parts.append(segment(0xC4, bytes([table, *(sum(n == k for n, _ in lengths) for k in range(1, 17)), *(s for _, s in lengths)])))
+    stream = "".join(codes[t, s] + (f"{v:0{n}b}" if n else "") for t, s, v, n in symbols)
+    stream += "1" * (-len(stream) % 8)
+    body = int(stream, 2).to_bytes(len(stream) // 8, "big").replace(b"\xff", b"\xff\x00")
+    n = len(planes)
+    frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes([k + 1, 0x11, min(k, 1)]) for k in range(n))
+    scan = bytes([n]) + b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(n)) + b"\0\x3f\0"
+    tables = b"".join(segment(0xDB, bytes([k]) + steps[k][_ORDER].astype(np.uint8).tobytes()) for k in range(min(n, 2)))
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
+    return head + tables + segment(0xC0, frame) + b"".join(parts) + segment(0xDA, scan) + body + b"\xff\xd9"

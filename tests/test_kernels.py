@@ -247,10 +247,32 @@ def test_hamming_and_cosine(spark):
     df = spark.createDataFrame([(b"\x00\xff", b"\x01\x0f\xff", [1.0, 0.0], [1.0, 1.0, 5.0]), (b"", b"\x01", [0.0, 0.0], [1.0, 2.0])], "a binary, b binary, x array<double>, y array<double>")
     got = df.select(photo.hamming_binary(F.col("a"), F.col("b")), photo.cosine(F.col("x"), F.col("y"))).collect()
     assert [r[0] for r in got] == [5, 0]
-    assert [r[1] for r in got] == pytest.approx([2**-0.5, 0.0])
+    # Norms are of whole vectors, the product goes as far as the shorter.
+    assert [r[1] for r in got] == pytest.approx([27**-0.5, 0.0])
+    three = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0, 12.0])], "x array<double>, y array<double>")
+    assert three.select(photo.cosine(F.col("x"), F.col("y"))).first()[0] == pytest.approx(25 / 65)
 
 
 def test_progress(spark):
     df = spark.createDataFrame([(50, 200, 1000), (0, 200, 0), (0, 0, 5)], "c long, t long, ms long")
     got = [tuple(r[0]) for r in df.select(photo.progress(F.col("c"), F.col("t"), F.col("ms"))).collect()]
     assert got == [(50.0, 3.0, 25), (None, None, 0), (None, None, None)]
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (8, 8), (17, 30), (9, 20, 3), (40, 56, 3)])
+@pytest.mark.parametrize("quality", [20, 80, 100])
+def test_jpeg_round_trip(shape, quality):
+    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+    pixels = np.stack([x * 4 + 20, y * 5 + 9, (x + y) * 2 + 40], axis=2).astype(np.uint8)
+    pixels = pixels if len(shape) == 3 else pixels[..., 0]
+    got = codecs.decode(codecs.encode_jpeg(pixels, quality))
+    assert got.shape == pixels.shape
+    assert np.abs(got.astype(int) - pixels).mean() < {20: 14, 80: 5, 100: 1.5}[quality]
+
+
+def test_code_lengths():
+    for times in ({7: 5}, {1: 1, 2: 1}, {k: 1 for k in range(162)}, {k: 2**k for k in range(30)}):
+        found = codecs.code_lengths(dict(times))
+        assert sorted(s for _, s in found) == sorted(times)
+        assert max(n for n, _ in found) <= 16
+        assert sum(2.0**-n for n, _ in found) < 1  # the code of all ones is free
