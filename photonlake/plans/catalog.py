@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import photo, predicates
 from ..operators import grouping, persons, pixels, review
 from ..settings import Settings
+from . import photographs
 from . import surrogate as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(photographs.QUERIES)
+ORACLES: dict[str, str] = dict(photographs.ORACLES)
 #: Thresholds at which the surrogate hashes and vectors have groups.
 LOOSE = Settings(duplicate_window_secs=60, duplicate_threshold=24, person_similarity=0.3)
 
@@ -246,7 +247,13 @@ def subject_focus_kernel(spark, d):
     return f.withColumns({c: F.round(c, 4) for c, kind in f.dtypes if kind == "double"})
 
 
-@query()
+@query(f"""WITH {S.RASTER_SQL}, k AS (SELECT unnest(range(0, 9)) AS d), j AS (SELECT unnest(range(0, 8)) AS s),
+    wt AS (SELECT d, s, greatest(0, 1 - abs(s + 0.5e0 - (d + 0.5e0) * 8e0 / 9e0)) AS w FROM k, j), wn AS (SELECT d, s, w / sum(w) OVER (PARTITION BY d) AS w FROM wt),
+    small AS (SELECT image_id, a.d AS y, b.d AS x, floor(sum(a.w * b.w * v) + 0.5 + 1e-6) AS v FROM pix JOIN wn a ON a.s = pix.y AND a.w > 0 JOIN wn b ON b.s = pix.x AND b.w > 0 GROUP BY ALL),
+    bits AS (SELECT image_id, y * 8 + x AS i, v < lead(v) OVER (PARTITION BY image_id, y ORDER BY x) AS up FROM small QUALIFY x < 8
+             UNION ALL SELECT image_id, 72 + y * 9 + x, v < lead(v) OVER (PARTITION BY image_id, x ORDER BY y) FROM small QUALIFY y < 8),
+    bytes AS (SELECT image_id, i // 8 AS b, sum(CASE WHEN up THEN 1 << (i % 8)::INTEGER ELSE 0 END) AS v FROM bits GROUP BY ALL)
+    SELECT image_id, string_agg(printf('%02x', v::INTEGER), '' ORDER BY b) AS phash FROM bytes GROUP BY image_id""")
 def perceptual_hashes(spark, d):
     return _kernels(spark, d).select("image_id", F.lower(F.hex("phash")).alias("phash"))
 
