@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _COUNT = itertools.count()
+#: Folders that were named and not deleted yet.
+_MADE: list[str] = []
 #: Bytes of a side that is broadcast at most, with what a hash table takes for a row.
 BROADCAST_BYTES = 16 << 20
 _ROW_BYTES = 48
 
 
 def _shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{root.rstrip('/')}/photonlake-{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; where that is unset (tests), under the warehouse directory."""
-    return f"{_shared_root(spark)}/{next(_COUNT)}"
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, in local mode only, under the warehouse directory."""
+    _MADE.append(f"{_shared_root(spark)}/{next(_COUNT)}")
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_shared(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. DataFrames that were made from them can't be read after."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_shared_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _shared_root(spark))
+    _MADE.clear()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -36,6 +49,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns, then delete the tables that were written on the way to it."""
+    before = len(_MADE)
+    out = materialise(make())
+    for path in _MADE[before:-1]:
+        _delete(spark, path)
+    _MADE[before:] = _MADE[-1:]
+    return out
+
+
 def counted_bytes(df: DataFrame) -> int:
     """Bytes of a table's rows in a hash table, by one aggregate over it; so for tables that are written already."""
     width = F.lit(_ROW_BYTES + 8 * len(df.columns)).cast("bigint")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    """What a reviewer can turn."""
+    """What a reviewer can turn. The defaults."""
 
     blur_threshold: float = 100.0
     exposure_threshold: float = 0.3

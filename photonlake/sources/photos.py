@@ -1,12 +1,14 @@
 """Photos in a directory tree as a DataFrame: a Python data source that finds what Spark's file readers hide.
 
 Every regular file counts, also those whose names begin with a dot or an underscore; links are not followed;
-what can't be read is skipped. The driver lists directories only; tasks list and stat their files.
+what can't be read is skipped. The driver opens a bounded number of directories; tasks walk what is below these, and
+list and stat files.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +17,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schemas import DISCOVERED
 from ..settings import EXTENSIONS
 
-#: Directories that one task lists.
-PER_TASK = 64
+#: Directories that one task lists; those that the driver looks for, and opens on the way, at most.
+PER_TASK, FRONTIER, OPENED = 64, 512, 4096
 
 
 class Directories(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Directories to list; ``deep``: with all that is below them."""
+
+    def __init__(self, paths: list[str], deep: bool):
+        self.paths, self.deep = paths, deep
+
+
+def _below(directory: str) -> list[str]:
+    try:
+        return sorted(e.path for e in os.scandir(directory) if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
 
 
 class PhotoReader(DataSourceReader):
@@ -29,11 +40,16 @@ class PhotoReader(DataSourceReader):
         self.root, self.photos_only = root, photos_only
 
     def partitions(self) -> list[Directories]:
-        found = [d for d, _, _ in os.walk(self.root, followlinks=False)]
-        return [Directories(found[i : i + PER_TASK]) for i in range(0, len(found), PER_TASK)]
+        opened, ahead = [], deque([self.root])
+        while ahead and len(ahead) < FRONTIER and len(opened) < OPENED:
+            opened.append(ahead.popleft())
+            ahead.extend(_below(opened[-1]))
+        flat = [Directories(opened[i : i + PER_TASK], False) for i in range(0, len(opened), PER_TASK)]
+        return flat + [Directories([d], True) for d in ahead]
 
     def read(self, partition: Directories) -> Iterator[tuple]:
-        for directory in partition.paths:
+        paths = partition.paths if not partition.deep else (d for top in partition.paths for d, _, _ in os.walk(top, followlinks=False))
+        for directory in paths:
             try:
                 entries = sorted(os.scandir(directory), key=lambda e: e.name)
             except OSError:

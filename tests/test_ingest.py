@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from photonlake.functions import raster
 from photonlake.operators import ingest
-from photonlake.sources import codecs
+from photonlake.operators.library import Library, NoResults
+from photonlake.sources import codecs, fixtures
+from photonlake.settings import Settings
 from photonlake.sources.photos import discover
 
 
@@ -85,7 +88,7 @@ def test_pipeline(spark, tmp_path):
         assert got[name].blur is None
         assert got[name].id
     thumb = codecs.decode(open(got["_sharp.png"].thumbnail_path, "rb").read())
-    assert thumb.shape == (225, 300)
+    assert thumb.shape == (192, 256)  # small photos are not enlarged
     faces = ingest.face_rows(ingest.analyse_photos(spark, str(root), seen)).collect()
     assert [(r.face_index, r.embedding) for r in faces] == [(0, [1.0, 2.0])]
 
@@ -169,6 +172,47 @@ def test_lazy_detector_builds_once():
     assert built == [1]
 
 
+def test_lazy_detectors_of_one_scope_are_two():
+    import functools
+    import pickle
+
+    make = lambda says: ingest.LazyDetector(functools.partial(lambda x: (lambda pixels: x), says))
+    one, two = make({"faces": [1]}), make({"faces": [2]})
+    assert (one(None), two(None)) == ({"faces": [1]}, {"faces": [2]})
+    plain = ingest.LazyDetector(len)
+    assert pickle.loads(pickle.dumps(plain)).key == plain.key  # a worker's copies share what it builds
+
+
+def test_thumbnails_are_jpeg_and_never_larger(spark, tmp_path):
+    y, x = np.mgrid[0:40, 0:64]
+    small = np.stack([x * 4, y * 6, x + y], axis=2).astype(np.uint8)
+    path = ingest.write_thumbnail(small, str(tmp_path), "s")
+    assert path.endswith("s_v2.jpg")
+    image = spark.read.format("image").load(path).select("image.*").first()
+    got = np.frombuffer(image.data, np.uint8).reshape(image.height, image.width, 3)[..., ::-1]
+    assert got.shape == small.shape
+    assert np.abs(got.astype(int) - small).mean() < 4
+    large = ingest.write_thumbnail(np.zeros((600, 900), np.uint8), str(tmp_path), "l")
+    assert codecs.decode(open(large, "rb").read()).shape == (200, 300)
+
+
+def test_variants(tmp_path):
+    y, x = np.mgrid[0:48, 0:64]
+    photo = ((x // 16 + y // 16) % 2 * 200 + 20).astype(np.uint8)
+    made = fixtures.variants(photo)
+    assert len(made) == 16
+    sharpness = [raster.compute_blur(made[n])["laplacian_variance"] for n in fixtures.BLURS]
+    assert sharpness == sorted(sharpness, reverse=True)
+    means = [made[n].mean() for n in fixtures.EXPOSURES]
+    assert means == sorted(means)
+    assert (made["exp_normal"] == photo).all()
+    assert (made["exp_overexposed"] == np.minimum((photo * 1.8).astype(int), 255)).all()
+    assert abs(made["blur_heavy"].mean() - photo.mean()) < 2
+    paths = fixtures.write_variants(photo, str(tmp_path / "v"))
+    assert sorted(os.listdir(tmp_path / "v")) == sorted(f"{n}.jpg" for n in made)
+    assert np.abs(codecs.decode(open(paths[-1], "rb").read()).astype(int) - made["combo_blurry_dark"]).mean() < 4
+
+
 def test_delete_files(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"a")
     plan = spark.createDataFrame([("1", str(tmp_path / "a.jpg")), ("2", str(tmp_path / "gone.jpg"))], "image_id string, path string")
@@ -183,7 +227,7 @@ def test_delete_files(spark, tmp_path):
 
 def test_face_thumbnail(tmp_path):
     path = ingest.write_face_thumbnail(np.zeros((100, 200, 3), np.uint8), [0.4, 0.4, 0.1, 0.2], str(tmp_path), "ab" * 32, 3)
-    assert path.endswith("abababababababab_face_3.png")
+    assert path.endswith("abababababababab_face_3.jpg")
     assert max(codecs.decode(open(path, "rb").read()).shape[:2]) == 120
 
 
@@ -191,3 +235,28 @@ def test_no_detector_is_null(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(codecs.encode_png(np.full((40, 50), 9, np.uint8)))
     row = ingest.analyse_photos(spark, str(tmp_path)).select("closed_eyes", "subject_focus", F.size("embeddings").alias("n")).first()
     assert (row.closed_eyes, row.subject_focus, row.n) == (None, None, 0)
+
+
+def test_library(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    rng = np.random.default_rng(1)
+    same = np.kron(rng.integers(0, 255, (24, 32), dtype=np.uint8), np.ones((4, 4), np.uint8))
+    for k, (name, pixels) in enumerate({"a.png": same, "b.png": same, "c.png": same.T, "d.png": same}.items()):
+        (root / name).write_bytes(codecs.encode_png(pixels))
+        os.utime(root / name, (1_700_000_000 + (3 * k if k < 3 else 1000),) * 2)
+    seen = lambda pixels: {"faces": [{"bounding_box": [0.1, 0.1, 0.3, 0.3], "left": 0.9, "right": 0.9, "embedding": [1.0, float(pixels.shape[0] > 100)]}], "salient": None}
+    results = Library(spark, f"file://{tmp_path}/results")
+    for getter in (results.analysis, results.duplicate_groups, results.scene_groups, results.person_groups):
+        with pytest.raises(NoResults, match="No analysis results yet"):
+            getter()
+    names = {r.id: r.file_name for r in results.scan(str(root), seen).collect()}
+    assert sorted(names.values()) == ["a.png", "b.png", "c.png", "d.png"]
+    group = lambda df: sorted((r[0], [names[m] for m in r.members]) for r in df.collect())
+    assert group(results.duplicate_groups()) == [("dup-1", ["a.png", "b.png"])]
+    assert group(results.scene_groups()) == [("scene-1", ["a.png", "b.png", "c.png"])]
+    persons = sorted((r.person_id, sorted(names[m.image_id] for m in r.members)) for r in results.person_groups().collect())
+    assert persons == [("person-1", ["a.png", "b.png", "c.png", "d.png"])]
+    results.regroup(Settings(duplicate_window_secs=2000, person_similarity=0.9))
+    assert group(results.duplicate_groups()) == [("dup-1", ["a.png", "b.png", "d.png"])]
+    assert len(results.person_groups().collect()) == 2
