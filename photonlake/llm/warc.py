@@ -9,6 +9,9 @@ up to and with that chunk. The table is written by Spark's committer, which outl
 from __future__ import annotations
 
 import hashlib
+import uuid
+from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -49,22 +52,30 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
-def _header(page_id, url: str | None, digest: str, size: int, refers_to, number: str) -> bytes:
+def record_id(kind: str, page_id: str, digest: str) -> str:
+    """A record's URN: a name-based UUID of its type, page and payload digest, so a revisit can name its response."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {digest}')}"
+
+
+def _header(page_id, url: str | None, digest: str, size: int, refers_to, date: str) -> bytes:
     revisit = refers_to is not None
+    kind, name = "revisit" if revisit else "response", quote(str(page_id), safe="") if page_id is not None else ""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    safe = "".join(ch for ch in (url or "") if ch >= " " and ch != "\x7f")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:photonlake:{number}>",
-             *([f"WARC-Page-ID: {page_id}"] if page_id is not None else []),
-             *([f"WARC-Target-URI: {safe}"] if url else []),
+    safe = "".join(ch if ch > " " and ch != "\x7f" else quote(ch) for ch in (url or "urn:photonlake:no-uri"))
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(kind, name, digest)}>", f"WARC-Date: {date}",
+             *([f"WARC-Page-ID: {name}"] if page_id is not None else []), f"WARC-Target-URI: {safe}",
              "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        first = quote(str(refers_to), safe="")
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                  f"WARC-Refers-To: <{record_id('response', first, digest)}>", f"WARC-Refers-To-Page: {first}"]
     lines.append(f"Content-Length: {len(http) + (0 if revisit else size)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def to_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of planned records. A revisit has no payload; its header names length and digest."""
+def to_chunks(planned: DataFrame, chunk: int = CHUNK, date: str | None = None) -> DataFrame:
+    """The chunk table of planned records, all of one ``date`` (null: now). A revisit has no payload; its header names length and digest."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -82,7 +93,7 @@ def to_chunks(planned: DataFrame, chunk: int = CHUNK) -> DataFrame:
             for i in range(batch.num_rows):
                 record, number = f"{task:06d}-{number:09d}", number + 1
                 view = memoryview(payloads[i].as_buffer())
-                data = _header(ids[i], urls[i], digests[i], len(view), refers[i], record)
+                data = _header(ids[i], urls[i], digests[i], len(view), refers[i], date)
                 size = 0 if refers[i] is not None else len(view)
                 sha, at, k = hashlib.sha256(), 0, 0
                 while True:
@@ -127,8 +138,8 @@ def read_chunks(chunks: DataFrame, id_type: str = "bigint") -> DataFrame:
             if now["left"] != 0 or (not revisit and (digest != now["sha"].hexdigest() or size != now["stated"])):
                 raise ValueError(f"record {now['record']} is damaged")
             page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page")
-            return (None if page is None else convert(page), now["stated"] if revisit else size,
-                    digest if revisit else now["sha"].hexdigest(), head["WARC-Type"], None if refers is None else convert(refers))
+            return (None if page is None else convert(unquote(page)), now["stated"] if revisit else size,
+                    digest if revisit else now["sha"].hexdigest(), head["WARC-Type"], None if refers is None else convert(unquote(refers)))
 
         def built(rows):
             cols = list(zip(*rows, strict=True))
@@ -144,8 +155,10 @@ def read_chunks(chunks: DataFrame, id_type: str = "bigint") -> DataFrame:
                 if k == 0:
                     if now:
                         rows.append(closed())
-                    head, _, rest = bytes(view[:65536]).partition(b"\r\n\r\n")
-                    http = rest.partition(b"\r\n\r\n")[0]
+                    # A header is whole in the first chunk, however long it is.
+                    raw = bytes(view)
+                    end = raw.index(b"\r\n\r\n")
+                    head, http = raw[:end], raw[end + 4 : raw.index(b"\r\n\r\n", end + 4)]
                     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
                     stated = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
                     left = int(fields["Content-Length"]) - len(http) - 4
@@ -172,13 +185,15 @@ def read_chunks(chunks: DataFrame, id_type: str = "bigint") -> DataFrame:
     return chunks.where(whole).select(*cols).mapInArrow(run, schema).union(longer.mapInArrow(run, schema))
 
 
-def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, **columns) -> None:
+def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, date: str | None = None, **columns) -> None:
     """Write a WARC record for each row of ``pages`` to the chunk table at ``path``.
 
-    Null payloads are empty, null urls are left out, repeated rows make repeated records; an empty table makes
-    an empty archive. Columns beside id, url and payload are not read. Ids can be of any integer or string type.
+    Null payloads are empty, null and empty urls get a URN that says so, control characters and spaces of urls and ids
+    are percent-encoded (ids come back as they were), repeated rows make repeated records of one record id; an empty table
+    makes an empty archive. Columns beside id, url and payload are not read. Ids can be of any integer or string type.
+    ``date`` is all records' WARC-Date (null: the time of the call).
     """
-    to_chunks(plan_records(pages, **columns), chunk).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    to_chunks(plan_records(pages, **columns), chunk, date).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_archive(spark, path: str, id_type: str = "bigint") -> DataFrame:
