@@ -71,9 +71,9 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Format conversations with the assistant's texts as the loss mask.
 
-    Returns rows (conversation id, ``part_no``, ``n_turns``, ``formatted``, ``loss_spans``): the parts of a
-    conversation in order make its whole text, a part holds whole turns, and ``loss_spans`` are the byte ranges
-    (begin, end) of assistant texts in its part. Parts bound what a task holds in memory however long one
+    Returns rows (conversation id, ``part_no``, ``last``, ``n_turns``, ``formatted``, ``loss_spans``): the parts of a
+    conversation in order, from 0 to the one marked last, make its whole text, a part holds whole turns, and
+    ``loss_spans`` are the byte ranges (begin, end) of assistant texts in its part. Parts bound what a task holds in memory however long one
     conversation is. Rows are ordered by turn, then role and text, so ties have one defined order and repeated
     rows stay repeated; null turns come first; null roles and texts are empty; rows whose conversation id is
     null form one conversation. An empty table gives an empty result. Columns other than the four are not read.
@@ -83,13 +83,15 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     src = df.select(df[conv_col].alias("c"), df[turn_col].alias("t"), df[role_col].cast("string").alias("r"), df[text_col].cast("string").alias("x"))
     src = src.repartition("c").sortWithinPartitions("c", "t", "r", "x")
     c_type = src.schema["c"].dataType.simpleString()
-    schema = f"`{conv_col}` {c_type}, part_no bigint, n_turns bigint, formatted binary, loss_spans array<struct<begin:bigint,end:bigint>>"
+    schema = f"`{conv_col}` {c_type}, part_no bigint, last boolean, n_turns bigint, formatted binary, loss_spans array<struct<begin:bigint,end:bigint>>"
 
     def run(batches):
-        last, part = object(), 0
+        last, part, held = object(), 0, None
         for batch in batches:
             for piece in slices(batch, "x"):
                 conv = piece.column(0).to_pylist()
+                if held is not None:  # whether its last part ends a conversation is known only now
+                    yield flagged(held, conv[0] != last)
                 buffer, turns, text_from, text_to = assemble(piece.column(2), piece.column(3))
                 spoken = pc.fill_null(pc.equal(piece.column(2), "assistant"), False).to_numpy(zero_copy_only=False)
                 cuts = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
@@ -103,10 +105,14 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
                 starts = turns[cuts].astype(np.int32)
                 formatted = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(starts), buffer])
                 span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], piece.column(0).type), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([r[2] for r in rows], pa.int64()), formatted, pa.array([r[3] for r in rows], span)],
-                    names=[conv_col, "part_no", "n_turns", "formatted", "loss_spans"])
+                held = [pa.array([r[0] for r in rows], piece.column(0).type), pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()), formatted, pa.array([r[3] for r in rows], span)]
+        if held is not None:
+            yield flagged(held, True)
+
+    def flagged(cols, ended: bool):
+        mark = pa.array([True] * (len(cols[0]) - 1) + [ended])
+        return pa.RecordBatch.from_arrays([*cols[:2], mark, *cols[2:]], names=[conv_col, "part_no", "last", "n_turns", "formatted", "loss_spans"])
 
     return src.mapInArrow(run, schema)
 
@@ -123,46 +129,58 @@ def parse_turns(formatted: bytes) -> list[tuple[str, str]]:
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digests of formatted conversations, from their formatted text alone.
 
-    Takes :func:`format_conversations`'s rows with the parts of a conversation next to one another and in order,
-    as it leaves them. Returns per conversation: id, ``n_turns``, ``turns_sha256`` (of role, line feed, text,
-    line feed per turn), ``loss_chars`` and ``loss_sha256`` (of the unescaped text under the loss mask) and
-    ``formatted_chars``. Digests run on from part to part, so a conversation is never held whole.
+    Takes :func:`format_conversations`'s rows, in any order. Returns per conversation: id, ``n_turns``, ``turns_sha256``
+    (of role, line feed, text, line feed per turn), ``loss_chars`` and ``loss_sha256`` (of the unescaped text under the
+    loss mask) and ``formatted_chars``. A conversation of one part is read where it lies; the parts of others meet in
+    order (a shuffle), and their digests run on from part to part, so a conversation is never held whole. A missing
+    or repeated part, or turns other than the part says, fail the job. An empty table gives an empty result.
     """
     c_type = formatted.schema[conv_col].dataType.simpleString()
     schema = f"`{conv_col}` {c_type}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        now = None
+        now, kind = None, None
+
+        def closed() -> list:
+            if not now["last"]:
+                raise ValueError(f"conversation {now['conv']} lacks its last part")
+            return [now["conv"], now["turns"], now["all"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["total"]]
 
-        def closed(kind):
-            conv, n, turns, chars, loss, total = now
-            cols = [[conv], [n], [turns.hexdigest()], [chars], [loss.hexdigest()], [total]]
+        def built(rows):
             kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        kind = None
         for batch in batches:
             kind = batch.column(0).type
             done = []
-            for row in batch.to_pylist():
-                if row["part_no"] == 0:
-                    if now is not None:
-                        done.append(closed(kind))
-                    now = [row[conv_col], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                body = row["formatted"]
-                for role, text in parse_turns(body):
-                    now[1] += 1
-                    now[2].update(f"{role}\n{text}\n".encode())
-                for s in row["loss_spans"]:
-                    plain = unescape(body[s["begin"] : s["end"]].decode())
-                    now[3] += len(plain)
-                    now[4].update(plain.encode())
-                now[5] += len(body.decode())
+            for piece in slices(batch, "formatted"):
+                for conv, part, last, turns, body, spans in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if now is not None and (part == 0 or now["conv"] != conv):
+                        done.append(closed())
+                        now = None
+                    if part != (0 if now is None else now["next"]) or (now is not None and now["last"]):
+                        raise ValueError(f"conversation {conv} lacks a part before part {part}, or has it twice")
+                    if now is None:
+                        now = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "total": 0}
+                    now["next"], now["last"] = part + 1, last
+                    found = parse_turns(body)
+                    if len(found) != turns:
+                        raise ValueError(f"part {part} of conversation {conv} has {len(found)} turns, not {turns}")
+                    now["turns"] += turns
+                    for role, text in found:
+                        now["all"].update(f"{role}\n{text}\n".encode())
+                    for s in spans:
+                        plain = unescape(body[s["begin"] : s["end"]].decode())
+                        now["chars"] += len(plain)
+                        now["loss"].update(plain.encode())
+                    now["total"] += len(body.decode())
             if done:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+                yield built(done)
         if now is not None:
-            yield closed(kind)
+            yield built([closed()])
 
-    cols = [F.col(conv_col), "part_no", "formatted", "loss_spans"]
-    return formatted.select(*cols).mapInArrow(run, schema)
+    src = formatted.select(F.col(conv_col), "part_no", "last", "n_turns", "formatted", "loss_spans")
+    whole = F.col("last") & (F.col("part_no") == 0)
+    longer = src.where(~whole).repartition(conv_col).sortWithinPartitions(conv_col, "part_no")
+    return src.where(whole).mapInArrow(run, schema).union(longer.mapInArrow(run, schema))
