@@ -4,7 +4,8 @@ A pretoken is a row of byte positions. A segment tree over these positions store
 least ``(rank of the pair that starts here, position)`` below it, so the root names the leftmost pair of
 minimum rank. A merge takes that pair, links the live neighbours anew, and makes three point updates (the
 merged place, the place that died, the live place on the left), each logarithmic in the pretoken's length.
-Many pretokens of one padded width go through these steps together as rows of numpy arrays.
+Many pretokens of one padded width go through these steps together as rows of numpy arrays; a long one goes by
+itself, and all places of its least rank merge together where that is the same.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ _INF = np.int64(1) << np.int64(62)
 _SHIFT = np.int64(32)
 _LOW = (np.int64(1) << _SHIFT) - 1
 #: Pretokens that a Python worker remembers at most; then it starts afresh.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 150_000
+CACHE_CHARS = 200
+#: Bytes from which on a pretoken is merged by itself, many places at a time.
+LONG = 2048
 
 
 class PairTable:
@@ -100,6 +104,10 @@ class Codec:
             else:
                 widths.setdefault(1 << max(2, (len(w) - 1).bit_length()), []).append(i)
         for width, rows in widths.items():
+            if width >= LONG:
+                for i in rows:
+                    out[i] = self._merge_long(words[i])
+                continue
             step = max(1, (1 << 18) // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -162,6 +170,65 @@ class Codec:
         ends = np.cumsum(live.sum(axis=1)) * 4
         return [flat_ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The ids of one long word. All places of the least rank merge in one round where that equals merging them in turn.
+
+        It does if no pair that comes up on the way has a rank below: then none of them can come before the next of
+        these places. Else only the leftmost merges. A place that shares a token with the one before it waits.
+        """
+        n = len(word)
+        width = 1 << max(2, (n - 1).bit_length())
+        ids = np.append(self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32), np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n: no neighbour
+        after[n], before[0] = n, n
+        tree = np.full(2 * width, _INF, np.int64)
+        tree[width : width + n - 1] = self._pair_keys(ids[: n - 1], ids[1:n], np.arange(n - 1))
+        level = width
+        while level > 1:
+            np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2], out=tree[level // 2 : level])
+            level //= 2
+        none = np.int64(_INF >> _SHIFT)
+
+        def rank_of(left, right):
+            out = np.full(len(left), none)
+            live = (left >= 0) & (right >= 0)
+            found = self.pairs.get(left[live], right[live])
+            out[live] = np.where(found >= 0, found, none)
+            return out
+
+        while tree[1] < _INF:
+            rank = int(tree[1] >> _SHIFT)
+            node = np.array([1])
+            while node[0] < width:
+                node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+                node = node[(tree[node] >> _SHIFT) == rank]
+            at = (node - width).astype(np.int64)
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = after[at[:-1]] != at[1:]
+            at = at[(np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) % 2 == 0]
+            right = after[after[at]]
+            met = np.full(len(at), rank)
+            left = ids[before[at]]
+            left[1:][right[:-1] == at[1:]] = rank  # the neighbour will have merged
+            if len(at) > 1 and min(rank_of(met, ids[right]).min(), rank_of(left, met).min()) <= rank:
+                at, right = at[:1], right[:1]
+            gone = after[at]
+            ids[at], ids[gone] = rank, -1
+            after[at] = right
+            before[right[right < n]] = at[right < n]
+            lefts = before[at]
+            place = np.unique(np.concatenate([at, lefts[lefts < n]])).astype(np.int64)
+            keys = rank_of(ids[place], ids[after[place]])
+            leaf = np.concatenate([place, gone])
+            tree[width + leaf] = np.concatenate([np.where(keys < none, (keys << _SHIFT) | place, _INF), np.full(len(gone), _INF)])
+            node = np.unique((width + leaf) >> 1)
+            while node[0] >= 1:
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+                if node[0] == 1:
+                    break
+                node = np.unique(node >> 1)
+        return ids[:n][ids[:n] >= 0].astype("<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(t) for t in texts]
@@ -171,7 +238,11 @@ class Codec:
         if fresh:
             self.cache.update(zip(fresh, self.merge_words([w.encode() for w in fresh]), strict=True))
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del self.cache[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the ids that :meth:`encode` made."""
