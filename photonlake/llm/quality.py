@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, flat_utf8, slices, span_hashes, split_words
+from .common import TRAIN_BYTES, arrow_map, flat_utf8, sampled, slices, span_hashes, split_words
 
 #: Buckets of hashed byte n-grams; lengths of runs of one word that are indicators; orders of the byte n-grams.
 HASHED = 1 << 16
@@ -154,27 +154,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_buckets: int = BUCKETS) -> Mode
     return model
 
 
-def _features(docs: DataFrame, label: str) -> DataFrame:
+def _features(chosen: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [x.astype(np.int32) for x in indicator_rows(*flat_utf8(batch.column(0)))]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["x", "y"])
 
-    return arrow_map(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("int").alias("y")), run, "x array<int>, y int", "text")
+    return arrow_map(chosen.select("text", "y"), run, "x array<int>, y int", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, those whose id has the least hash.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``max_rows`` labelled documents, those whose id has the least hash, while they have ``max_bytes`` of text.
 
     ``docs``: doc_id, text; ``labels``: doc_id and the label. Rows with a null id or label are left out; of
-    repeated label rows the greatest label of an id counts. No labelled row: every score is one half.
+    repeated label rows the greatest label of an id counts, and of texts that repeat an id that with the least hash.
+    No labelled row: every score is one half.
     """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).alias(label))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
-    # At most max_rows narrow rows: small enough to be sent to all executors.
-    found = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), label).toArrow()
+    chosen = sampled(docs, labels, label, max_rows, max_bytes)
+    found = _features(chosen).toArrow()
     rows = [np.asarray(x.values, np.int64) for x in found.column("x")]
     y = np.array(found.column("y").to_pylist(), int)
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))  # no matter how rows arrive
