@@ -4,7 +4,7 @@ A candidate is a long token with a digit in it. Its encoding is inferred from it
 whether it could be uniform noise in that encoding: chi-squared for uniform use of the alphabet, Wald-Wolfowitz
 runs about the alphabet's middle, and serial correlation of neighbours. A fourth figure, the chance that a source
 which coincides twice as often as a uniform one would look so even, is the p-value of "no secret". These p-values
-go through a Benjamini-Hochberg step in each document with weights in proportion to length, so short tokens, on
+go through a Benjamini-Hochberg step over the whole table with weights in proportion to length, so short tokens, on
 which the tests have little power, need more evidence. What passes and doesn't fail the battery is a secret.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import evaluated
+from .common import evaluated, materialise
 
 #: The patterns of the three base kinds, in their listed order.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,6 +25,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
 #: False-discovery rate; level of the battery; what "no secret" coincides above a uniform source, as a multiple.
 FDR, LEVEL, EXCESS = 0.05, 0.01, 1.0
+#: Levels of the false-discovery bar.
+BARS = 400
 KINDS = ("assign", "access", "hex", "random")
 
 _NONE = "cast(array() as array<struct<start:int,rank:int,stop:int,body:string>>)"
@@ -121,15 +123,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Secrets in each text.
-
-    Takes ``doc_id`` (any type) and ``text``; other columns are not read. Returns per row: ``doc_id``, ``n_assign``,
-    ``n_access``, ``n_hex``, ``base_sha256`` (of the base spans, ``kind:start:end`` in order, comma-joined), ``spans``
-    (these and the battery's, kind ``random``, joined likewise) and ``n_random``. Offsets are code points, ends are
-    exclusive. A span of the battery that overlaps a base span is left out. Null and empty texts have no spans
-    (counts of 0, the digest of no text); null ids and repeated rows stay as they are. No shuffle.
-    """
+def _found(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, counts, base spans and candidates (n, p, noise, start, rank, stop)."""
     src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     spans = evaluated(
@@ -145,17 +140,53 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         tested = F.transform(tested, step)
     base = F.array_sort(F.concat(*(bare(F.col(c)) for c in ("assign", "access", "hex"))))
     counts = {f"n_{c}": F.size(c).cast("bigint") for c in ("assign", "access", "hex")}
-    keep = ["doc_id", *counts, "base"]
-    found = evaluated(spans, ["doc_id"], **counts, base=base, tested=tested)
-    mean = F.aggregate("tested", F.lit(0.0), lambda a, x: a + x["n"]) / F.size("tested")
-    found = evaluated(found, [*keep, "tested"], m=F.size("tested"), mean_n=F.when(F.size("tested") > 0, mean))
-    weighted = F.transform("tested", lambda x: F.struct((x["p"] * F.col("mean_n") / x["n"]).alias("q"), x["noise"], x["start"], x["rank"], x["stop"]))
-    found = evaluated(found, [*keep, "m"], tested=F.array_sort(weighted))
-    passing = F.filter(F.transform("tested", lambda x, i: F.when(x["q"] <= FDR * (i + 1) / F.col("m"), x["q"])), lambda q: q.isNotNull())
-    found = evaluated(found, [*keep, "tested"], bar=F.array_max(passing))
+    return evaluated(spans, ["doc_id"], **counts, base=base, tested=tested)
+
+
+def battery(docs: DataFrame) -> DataFrame:
+    """A row for each candidate: doc_id, start, stop, n, p (of no secret) and noise (the battery's, of uniform noise)."""
+    one = _found(docs).select("doc_id", F.explode("tested").alias("x"))
+    return one.select("doc_id", "x.start", "x.stop", "x.n", "x.p", "x.noise")
+
+
+def discovery_bar(found: DataFrame, rate: float = FDR) -> tuple[float, float]:
+    """The mean length of all candidates, and the Benjamini-Hochberg bar for their weighted p-values.
+
+    Weights are lengths over their mean, so they are one on average. The bar is the highest of ``BARS`` fixed levels (an
+    eighth of a power of two apart) at which the rate holds, so one aggregate of as many rows says it: over the whole
+    table, the expected share of tokens that are no secret among those that pass is at most ``rate``. No candidate:
+    (1, 0).
+    """
+    each = found.select(F.explode("tested").alias("x")).select("x.n", "x.p")
+    m, mean = each.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    q = F.greatest(F.col("p") * mean / F.col("n"), F.lit(1e-300))
+    level = F.least(F.greatest(F.floor(-8 * F.log2(q)), F.lit(-1)), F.lit(BARS)).alias("level")
+    counts = dict(map(tuple, each.select(level).groupBy("level").agg(F.count("*")).collect()))  # at most BARS + 2 rows
+    passing, bar = 0, 0.0
+    for k in range(BARS, -1, -1):
+        passing += counts.get(k, 0)
+        if passing and m * 2 ** (-k / 8) <= rate * passing:
+            bar = 2 ** (-k / 8)
+    return mean, bar
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """Secrets in each text.
+
+    Takes ``doc_id`` (any type) and ``text``; other columns are not read. Returns per row: ``doc_id``, ``n_assign``,
+    ``n_access``, ``n_hex``, ``base_sha256`` (of the base spans, ``kind:start:end`` in order, comma-joined), ``spans``
+    (these and the battery's, kind ``random``, joined likewise) and ``n_random``. Offsets are code points, ends are
+    exclusive. A span of the battery that overlaps a base span is left out. Null and empty texts have no spans
+    (counts of 0, the digest of no text); null ids and repeated rows stay as they are. No shuffle of texts: spans and
+    candidates are written down, an aggregate says the bar (see :func:`discovery_bar`), and a second pass applies it.
+    """
+    found = materialise(_found(docs))
+    mean, bar = discovery_bar(found)
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    random = F.filter("tested", lambda x: F.coalesce(x["q"] <= F.col("bar"), F.lit(False)) & (x["noise"] >= LEVEL) & clear(x))
-    found = evaluated(found, keep, random=bare(random))
+    # The same levels as in the aggregate: a token passes if its p-value is at most the bar.
+    passes = lambda x: (x["p"] * mean / x["n"] <= F.lit(bar)) & (x["noise"] >= LEVEL)
+    random = F.transform(F.filter("tested", lambda x: passes(x) & clear(x)), lambda x: F.struct(x["start"], x["rank"], x["stop"]))
+    found = evaluated(found, ["doc_id", "n_assign", "n_access", "n_hex", "base"], random=random)
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.encode(_joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
