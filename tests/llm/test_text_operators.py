@@ -267,12 +267,12 @@ def contamination_tables():
 bench_hot = "a b c d e f g h i j k l "
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
 def test_contamination_brute_force(spark, broadcast):
     docs, bench = contamination_tables()
     d = spark.createDataFrame(docs, DOC).withColumns({c: F.lit(1) for c in ("h", "tk", "items", "p")})
     b = spark.createDataFrame(bench, "item_id long, text string").withColumn("h", F.lit(1))
-    got = [tuple(r) for r in decontam.find_contamination(d, b, max_broadcast=broadcast).collect()]
+    got = [tuple(r) for r in decontam.find_contamination(d, b, limit=broadcast).collect()]
     assert sorted(got, key=str) == sorted(contaminated(docs, bench), key=str)
     if broadcast:
         assert {r[5] for r in map(tuple, decontam.find_contamination(d, b.where("false")).collect())} == {False}
