@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm import bpe, decontam, lines, neardup, quality
-from photonlake.llm.common import materialise, table
+from photonlake.llm.common import table
+from photonlake.plans.shared import settled
 
-#: The columns of documents, besides doc_id and text, that every stage hands on.
-OTHERS = ("lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -25,10 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated runs; n_chars follows the text. One that was all repetition goes."""
-    out = lines.dedup_lines(docs, keep=OTHERS)
-    left = out.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out, deleted = lines.dedup_lines(docs, keep=others), F.col(lines.new_names(others)[1])
+    left = out.where((deleted == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(deleted > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*(f"`{c}`" for c in docs.columns))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
+    """All stages in order over ``documents``; the tables that a stage wrote on its way go when its result stands."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

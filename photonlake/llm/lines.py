@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_utf8, mix64, slices, span_hashes, split_words
+from .common import flat_utf8, materialise, mix64, side, slices, span_hashes, split_words
 
 #: Words of a run at least.
 MIN_RUN = 32
 #: Text bytes in which equal stretches are matched before anything is shuffled, so a hot one is sent once for each.
-LOCAL_BYTES = 16 << 20
+LOCAL_BYTES = 8 << 20
 #: Text bytes whose words are hashed at a time, and whose windows are looked up.
 HASHED_BYTES = 1 << 20
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
@@ -88,10 +88,10 @@ def _changes(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(first: np.ndarray, doc: np.ndarray, word: np.ndarray, run: int) -> np.ndarray:
+def _repeats(first: np.ndarray, doc: np.ndarray, text: np.ndarray, word: np.ndarray, run: int) -> np.ndarray:
     """Rows, in order, that repeat the first row of their key: of another document, or so far on that windows don't overlap."""
     lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, int)
-    return (doc != doc[lead]) | (word - word[lead] >= run)
+    return (doc != doc[lead]) | (text != text[lead]) | (word - word[lead] >= run)
 
 
 def _sorted(cols: list[np.ndarray], keys: int) -> list[np.ndarray]:
@@ -116,56 +116,81 @@ def _ddl(names: list[str]) -> str:
 
 #: Rows of a stretch are asked about (ASK), or known to have others (TOLD); or say what is found: to delete (DONE), to look at by windows (TEST).
 ASK, TOLD, DONE, TEST = range(4)
-_ROWS = ["h", "whole", "doc", "word", "windows", "kind"]
-_FOUND = ["doc", "word", "windows", "kind"]
-_WINDOWS = ["h", "doc", "word", "windows"]
+#: A document is a doc_id and, where that has several texts, the text's hash. A place is a word's number in the text with
+#: a number of windows and a kind in its lowest bits, so that rows are narrow and are ordered by word.
+_ROWS = ["h", "whole", "doc", "text", "place"]
+_FOUND = ["doc", "text", "place"]
+_WINDOWS = ["h", "doc", "text", "place"]
+_KIND_BITS, _WINDOW_BITS = 2, 16
+
+
+def _place(word: np.ndarray, windows, kind) -> np.ndarray:
+    return (np.asarray(word, np.int64) << (_KIND_BITS + _WINDOW_BITS)) | (np.asarray(windows, np.int64) << _KIND_BITS) | kind
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, windows and kind of places."""
+    return place >> (_KIND_BITS + _WINDOW_BITS), (place >> _KIND_BITS) & ((1 << _WINDOW_BITS) - 1), place & ((1 << _KIND_BITS) - 1)
 
 
 def _spread(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(np.asarray(doc, np.int64).view(np.uint64) + np.asarray(word, np.int64).view(np.uint64)).view(np.int64)
 
 
-def _scan(docs: DataFrame, run: int) -> DataFrame:
+def _told_apart(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(doc, text_key, text, rest0, ...): the key is the text's hash where a doc_id has several texts, else 0."""
+    key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    src = docs.select(docs["doc_id"].alias("doc"), key.alias("text_key"), docs["text"].alias("text"), *(docs[c].alias(f"rest{i}") for i, c in enumerate(keep)))
+    several = src.where("doc is not null").groupBy("doc").agg((F.min("text_key") < F.max("text_key")).alias("several")).where("several")
+    several = materialise(several.select(F.col("doc").alias("of")))
+    if several.isEmpty():
+        return src.withColumn("text_key", F.lit(0).cast("bigint"))
+    met = src.join(side(several), F.col("doc") == F.col("of"), "left")
+    return met.withColumn("text_key", F.when(F.col("of").isNotNull(), F.col("text_key")).otherwise(F.lit(0).cast("bigint"))).drop("of")
+
+
+def _scan(src: DataFrame, run: int) -> DataFrame:
     """Stretches, those of one fingerprint in a piece of the input as one row, and what a piece shows by itself."""
 
     def scan(batches):
         for batch in batches:
             for piece in slices(batch, "text", LOCAL_BYTES):
                 parts, base = [], 0
-                ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, keys = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
                 for small in slices(piece, "text", HASHED_BYTES):
-                    h, whole, text, word, windows = stretches(Words(*flat_utf8(small.column(1))), run)
-                    parts.append((h, whole, ids[base + text], word, windows))
+                    h, whole, row, word, windows = stretches(Words(*flat_utf8(small.column(2))), run)
+                    parts.append((h, whole, ids[base + row], keys[base + row], word, windows))
                     base += small.num_rows
-                h, whole, doc, word, windows = _sorted([np.concatenate([p[k] for p in parts]) for k in range(5)], 4)
+                h, whole, doc, text, word, windows = _sorted([np.concatenate([p[k] for p in parts]) for k in range(6)], 5)
                 first = _changes(h, whole)
-                done = _repeats(first, doc, word, run)
+                done = _repeats(first, doc, text, word, run)
                 several = _groups(h, first & ~_changes(h))
                 ask, told, test = ~several & ~done, several & _changes(h), several & ~done
-                out = [[h[k], whole[k], doc[k], word[k], windows[k], np.full(int(k.sum()), kind)] for k, kind in ((ask, ASK), (told, TOLD))]
-                out += [[_spread(doc[k], word[k]), np.zeros(int(k.sum())), doc[k], word[k], windows[k], np.full(int(k.sum()), kind)] for k, kind in ((done, DONE), (test, TEST))]
+                out = [[h[k], whole[k], doc[k], text[k], _place(word[k], windows[k], kind)] for k, kind in ((ask, ASK), (told, TOLD))]
+                out += [[_spread(doc[k], word[k]), np.zeros(int(k.sum())), doc[k], text[k], _place(word[k], windows[k], kind)] for k, kind in ((done, DONE), (test, TEST))]
                 yield _batch(_ROWS, out)
 
-    src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
+    src = src.where("doc is not null and text is not null").select(F.col("doc").cast("bigint"), "text_key", "text")
     return src.mapInArrow(scan, _ddl(_ROWS))
 
 
 def _compared(rows: DataFrame, run: int) -> DataFrame:
-    """(doc, word, windows, kind): stretches to delete, and those whose windows occur in other stretches too."""
+    """(doc, text, place): stretches to delete, and those whose windows occur in other stretches too."""
 
     def compared(cols):
-        h, whole, doc, word, windows, kind = cols
+        h, whole, doc, text, place = cols
+        word, windows, kind = _unpacked(place)
         first = _changes(h, whole)
         several = _groups(h, (first & ~_changes(h)) | (kind == TOLD))
-        done = _repeats(first, doc, word, run) & (kind == ASK)
+        done = _repeats(first, doc, text, word, run) & (kind == ASK)
         test = several & ~done & (kind == ASK)
-        return [[doc[k], word[k], windows[k], np.full(int(k.sum()), what)] for k, what in ((done, DONE), (test, TEST))]
+        return [[doc[k], text[k], _place(word[k], windows[k], what)] for k, what in ((done, DONE), (test, TEST))]
 
     def compare(batches):
         held = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            known = cols[5] >= DONE
+            known = _unpacked(cols[4])[2] >= DONE
             out = [[c[known] for c in cols[2:]]]
             cols = [c[~known] for c in cols]
             if held is not None:
@@ -178,66 +203,70 @@ def _compared(rows: DataFrame, run: int) -> DataFrame:
         if held is not None:
             yield _batch(_FOUND, compared(held))
 
-    return rows.repartition("h").sortWithinPartitions("h", "whole", "doc", "word").mapInArrow(compare, _ddl(_FOUND))
+    return rows.repartition("h").sortWithinPartitions("h", "whole", "doc", "text", "place").mapInArrow(compare, _ddl(_FOUND))
 
 
 def _by_window(left: DataFrame, found: DataFrame, run: int) -> DataFrame:
-    """Window rows (h, doc, word, 0) of the stretches to test; and (h, doc, word, windows) of what is to delete.
+    """Rows (h, doc, text, place): a window of a stretch to test, which says no windows, or windows to delete.
 
     ``left`` goes through the join with all its columns and rows, so that the shuffle of the texts is the one that
     :func:`dedup_lines` reads again.
     """
-    one = F.struct("word", "windows", "kind")
-    lists = found.groupBy("doc").agg(F.collect_set(one).alias("_found"), F.max(F.col("kind") == TEST).alias("_test"))
-    lists = lists.withColumnRenamed("doc", "_line_doc")
-    rest = [F.col(c).alias(f"_rest{i}") for i, c in enumerate(left.columns[2:])]
-    text = F.when(F.col("_test"), F.col("text")).otherwise("").alias("text")
-    joined = left.join(lists, F.col("doc_id") == F.col("_line_doc"), "left").select(F.coalesce("_line_doc", F.lit(0)).alias("_line_doc"), text, "_found", *rest)
+    test = F.max(F.col("place").bitwiseAND(F.lit((1 << _KIND_BITS) - 1)) == TEST)
+    lists = found.groupBy(F.col("doc").alias("of"), F.col("text").alias("of_key")).agg(F.collect_set("place").alias("found"), test.alias("test"))
+    rest = [c for c in left.columns if c.startswith("rest")]
+    text = F.when(F.col("test"), F.col("text")).otherwise("").alias("text")
+    joined = left.join(lists, _own(left), "left").select(F.coalesce("of", F.lit(0)).alias("of"), F.coalesce("of_key", F.lit(0)).alias("of_key"), text, "found", *rest)
 
     def look(batches):
         for batch in batches:
             for piece in slices(batch, "text", HASHED_BYTES):
-                lists, ids = piece.column(2), piece.column(0).to_numpy()
-                flat, text = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                word, windows, kind = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                lists, ids, keys = piece.column(3), piece.column(0).to_numpy(), piece.column(1).to_numpy()
+                flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                word, windows, kind = _unpacked(flat.to_numpy(zero_copy_only=False))
                 k = kind == DONE
-                done = [_spread(ids[text[k]], word[k]), ids[text[k]], word[k], windows[k]]
-                text, word, windows = text[~k], word[~k], windows[~k]
-                words = Words(*flat_utf8(piece.column(1)))
+                done = [_spread(ids[row[k]], word[k]), ids[row[k]], keys[row[k]], _place(word[k], windows[k], 0)]
+                row, word, windows = row[~k], word[~k], windows[~k]
+                words = Words(*flat_utf8(piece.column(2)))
                 inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-                text, word = np.repeat(text, windows), np.repeat(word, windows) + inside
-                place = words.first[text] + word
-                k = place + run <= words.first[text + 1]  # another text of the same id may be shorter
-                h, doc, word = _sorted([words.hashes(place[k], run).view(np.int64), ids[text[k]], word[k]], 3)
-                again = _repeats(_changes(h), doc, word, run)
-                found = [_spread(doc[again], word[again]), doc[again], word[again], np.ones(int(again.sum()))]
-                yield _batch(_WINDOWS, [[h[~again], doc[~again], word[~again], np.zeros(int((~again).sum()))], done, found])
+                row, word = np.repeat(row, windows), np.repeat(word, windows) + inside
+                h = words.hashes(words.first[row] + word, run).view(np.int64)
+                h, doc, text, word = _sorted([h, ids[row], keys[row], word], 4)
+                again = _repeats(_changes(h), doc, text, word, run)
+                found = [_spread(doc[again], word[again]), doc[again], text[again], _place(word[again], 1, 0)]
+                yield _batch(_WINDOWS, [[h[~again], doc[~again], text[~again], _place(word[~again], 0, 0)], done, found])
 
     return joined.mapInArrow(look, _ddl(_WINDOWS))
 
 
-def repeated_spans(docs: DataFrame, left: DataFrame, run: int = MIN_RUN) -> DataFrame:
-    """(doc, begin, end): words of windows, or of several next to each other, that occur earlier by document id and place."""
+def _own(left: DataFrame):
+    return (F.col("doc") == F.col("of")) & (F.col("text_key") == F.col("of_key"))
+
+
+def repeated_spans(left: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """(doc, text, place): windows, or several next to each other, that occur earlier by document and place."""
 
     def spans(batches):
         held = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            known = cols[3] > 0
+            word, windows, _ = _unpacked(cols[3])
+            cols = [*cols[:3], word, windows]
+            known = windows > 0
             out = [[c[known] for c in cols[1:]]]
             cols = [c[~known] for c in cols]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             if len(cols[0]):
                 first = _changes(cols[0])
-                again = _repeats(first, cols[1], cols[2], run)
-                out.append([cols[1][again], cols[2][again], np.ones(int(again.sum()))])
+                again = _repeats(first, *cols[1:4], run)
+                out.append([*(c[again] for c in cols[1:4]), np.ones(int(again.sum()))])
                 held = [c[np.flatnonzero(first)[-1] :][:1] for c in cols]  # the first of the window that may go on
-            doc, word, windows = (np.concatenate([np.asarray(o[k], np.int64) for o in out]) for k in range(3))
-            yield _batch(["doc", "begin", "end"], [[doc, word, word + windows + run - 1]])
+            doc, text, word, windows = (np.concatenate([np.asarray(o[k], np.int64) for o in out]) for k in range(4))
+            yield _batch(_FOUND, [[doc, text, _place(word, windows, 0)]])
 
-    rows = _by_window(left, _compared(_scan(docs, run), run), run)
-    return rows.repartition("h").sortWithinPartitions("h", "doc", "word").mapInArrow(spans, _ddl(["doc", "begin", "end"]))
+    rows = _by_window(left, _compared(_scan(left, run), run), run)
+    return rows.repartition("h").sortWithinPartitions("h", "doc", "text", "place").mapInArrow(spans, _ddl(_FOUND))
 
 
 def merged_runs(begin: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -274,21 +303,28 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, keep: tuple[str, ...] =
     """Delete later occurrences of runs of at least ``min_run`` words that occur earlier.
 
     Takes ``doc_id`` (an integer) and ``text``; of other columns only those in ``keep`` are read. Returns per row
-    ``doc_id``, ``text``, ``n_runs`` and ``n_deleted`` (words), and the columns to keep as they are. "Earlier" is by doc_id, then by place in the text, so a run that a text
-    repeats within itself is deleted there as well. Rows that repeat an id are one document and don't count as each
-    other's repetitions; a null id takes no part and keeps its text; a null text stays null; empty texts stay
-    empty; a text that is all repetition becomes empty. An empty table gives an empty result.
+    ``doc_id``, ``text``, ``n_runs`` and ``n_deleted`` (words), and the columns to keep as they are; if one of these
+    has a new column's name, the new one has underscores before it (see :func:`new_names`). "Earlier" is by doc_id,
+    then by place in the text, so a run that a text repeats within itself is deleted there as well. Rows that are equal
+    in doc_id and text are one document and don't count as each other's repetitions; other rows that repeat a doc_id
+    are documents of their own, in an order that depends on their texts alone. A null id takes no part and keeps its
+    text; a null text stays null; empty texts stay empty; a text that is all repetition becomes empty. An empty table
+    gives an empty result.
 
     One shuffle carries narrow rows of stretches, a few for each fingerprint and piece of input: how often a line
     occurs changes nothing there. A second brings those that aren't settled to their texts, a third carries their
     windows, and a fourth brings a document's runs to its text.
     """
-    # A merge join whatever the sizes, so the plan of a large input is that of a small one.
-    left = docs.select("doc_id", "text", *keep).hint("merge")
-    spans = repeated_spans(docs, left, min_run).groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("_line_spans")).withColumnRenamed("doc", "_line_doc")
-    joined = left.join(spans, F.col("doc_id") == F.col("_line_doc"), "left").select("doc_id", "text", "_line_spans", *keep)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"doc_id {kinds['doc_id']}, text string, n_runs bigint, n_deleted bigint" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    if not 0 < min_run < 1 << _WINDOW_BITS:
+        raise ValueError("min_run is a number of words")
+    # A merge join whatever the sizes, so the texts are shuffled once for both joins.
+    left = _told_apart(docs, list(keep)).hint("merge")
+    spans = repeated_spans(left, min_run).groupBy(F.col("doc").alias("of"), F.col("text").alias("of_key")).agg(F.collect_set("place").alias("spans"))
+    rest = [c for c in left.columns if c.startswith("rest")]
+    joined = left.join(spans, _own(left), "left").select("doc", "text", "spans", *rest)
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    names = ["doc_id", "text", *new_names(keep), *keep]
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, [docs.schema["doc_id"].dataType.simpleString(), "string", "bigint", "bigint", *kinds], strict=True))
 
     def run(batches):
         for batch in batches:
@@ -298,13 +334,23 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, keep: tuple[str, ...] =
                 if len(marked):
                     plain = texts.to_pylist()
                     for i in marked:
-                        s = piece.column(2)[int(i)].values
-                        runs = merged_runs(s.field(0).to_numpy(), s.field(1).to_numpy(), min_run)
+                        word, windows, _ = _unpacked(piece.column(2)[int(i)].values.to_numpy())
+                        runs = merged_runs(word, word + windows + min_run - 1, min_run)
                         if runs and plain[i] is not None:
                             plain[i], _ = cut_words(plain[i], runs)
                             n_runs[i], n_deleted[i] = len(runs), sum(b - a for a, b in runs)
                     texts = pa.array(plain, pa.string())
                 cols = [piece.column(0), texts, pa.array(n_runs, pa.int64()), pa.array(n_deleted, pa.int64()), *piece.columns[3:]]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_runs", "n_deleted", *keep])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(run, schema)
+
+
+def new_names(keep: tuple[str, ...] = ()) -> list[str]:
+    """The names that ``n_runs`` and ``n_deleted`` have beside columns to keep."""
+    taken, out = {c.lower() for c in keep}, []
+    for name in ("n_runs", "n_deleted"):
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
