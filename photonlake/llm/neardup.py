@@ -464,8 +464,10 @@ def _confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: i
         sets = materialise(led.select("id", "cluster", "n", "shingles", F.col("link").alias("linked")))
     for x in done:
         sets = sets.union(x)
-    weight = sets.groupBy("cluster").agg(F.sum("n").alias("w")).select(F.col("cluster").alias("c"), F.ceil(F.col("w") / block).cast("int").alias("blocks"))
-    placed = sets.join(weight, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    weight = sets.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") > block)
+    weight = materialise(weight.select(F.col("cluster").alias("c"), F.ceil(F.col("w") / block).cast("int").alias("parts")))
+    placed = sets.join(side(weight), F.col("cluster") == F.col("c"), "left").withColumn("blocks", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "shingles")
     met = met.repartition("task").sortWithinPartitions("task", "id")
