@@ -41,8 +41,13 @@ def _inside(root: str):
 
 
 def _values(rows: list[tuple], columns: str) -> str:
+    """Rows as SQL, each column of the type that Spark gives it."""
     text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v + "'" if isinstance(v, str) else repr(v)
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows) + f") AS t({columns})"
+    kinds = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "VARCHAR"}
+    names = columns.split(", ")
+    of = [next((kinds[type(row[k])] for row in rows if row[k] is not None), "BIGINT") for k in range(len(names))]
+    cast = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in zip(names, of, strict=True))
+    return f"SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows) + f") AS t({columns})"
 
 
 def _is_photo(place: str) -> bool:
