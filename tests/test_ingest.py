@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photonlake.functions import raster
 from photonlake.operators import ingest
 from photonlake.operators.library import Library, NoResults
-from photonlake.sources import codecs, fixtures
+from photonlake.sources import codecs, fixtures, photos
 from photonlake.settings import Settings
 from photonlake.sources.photos import discover
 
@@ -35,6 +35,22 @@ def test_scan(spark, tree):
         discover(spark, str(tree / "n.jpg"))
 
 
+def test_scan_opens_a_bounded_number_of_directories(tree, monkeypatch):
+    for k in range(30):
+        (tree / f"d{k % 3}" / f"e{k}" / "f").mkdir(parents=True)
+        (tree / f"d{k % 3}" / f"e{k}" / "f" / f"{k}.jpg").write_bytes(b"x")
+    found = []
+    for frontier, opened in ((512, 4096), (4, 4096), (512, 2), (1, 1)):
+        monkeypatch.setattr(photos, "FRONTIER", frontier)
+        monkeypatch.setattr(photos, "OPENED", opened)
+        reader = photos.PhotoReader(str(tree), True)
+        parts = reader.partitions()
+        assert sum(len(p.paths) for p in parts if not p.deep) <= opened
+        found.append(sorted(row for p in parts for row in reader.read(p)))
+    assert len(found[0]) == 35
+    assert all(f == found[0] for f in found)
+
+
 def java_jpeg(spark, rgb):
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     h, w, _ = rgb.shape
