@@ -2,9 +2,10 @@
 
 A candidate is a long token with a digit in it. Its encoding is inferred from its characters, and three tests ask
 whether it could be uniform noise in that encoding: chi-squared for uniform use of the alphabet, Wald-Wolfowitz
-runs about the alphabet's middle, and serial correlation of neighbours. A fourth figure, the chance that a source
-which coincides twice as often as a uniform one would look so even, is the p-value of "no secret". These p-values
-go through a Benjamini-Hochberg step over the whole table with weights in proportion to length, so short tokens, on
+runs about the alphabet's middle, and serial correlation of neighbours. Two more figures say how unlikely the token is
+if it is no secret: the chance that a source which coincides twice as often as a uniform one would look so even, and
+the chance that characters which change between digits, small and capital letters three times in ten would change so
+often (a second runs test). Twice the lesser is the p-value of "no secret". These p-values go through a Benjamini-Hochberg step over the whole table with weights in proportion to length, so short tokens, on
 which the tests have little power, need more evidence. What passes and doesn't fail the battery is a secret.
 """
 
@@ -25,6 +26,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
 #: False-discovery rate; level of the battery; what "no secret" coincides above a uniform source, as a multiple.
 FDR, LEVEL, EXCESS = 0.05, 0.01, 1.0
+#: How often neighbours that are letters or digits are of different classes in what is no secret.
+CHANGES = 0.3
 #: Levels of the false-discovery bar.
 BARS = 400
 KINDS = ("assign", "access", "hex", "random")
@@ -99,7 +102,10 @@ def _sums(x: Column) -> Column:
     runs = F.aggregate(pairs, F.lit(1.0), lambda acc, p: acc + F.when((p["a"] >= x["middle"]) != (p["b"] >= x["middle"]), 1.0).otherwise(0.0))
     spread = F.aggregate(x["codes"], F.lit(0.0), lambda acc, c: acc + (c - x["mean"]) * (c - x["mean"]))
     lagged = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - x["mean"]) * (p["b"] - x["mean"]))
-    return F.struct(x["n"].alias("n"), x["k"].alias("k"), (x["k"] / x["n"] * x["squares"] - x["n"]).alias("chi"), high.alias("high"), runs.alias("runs"),
+    kind = lambda c: F.when(c <= 10, 0).when(c <= 36, 1).otherwise(2)
+    plain = F.filter(pairs, lambda p: (p["a"] <= 62) & (p["b"] <= 62))
+    changes = F.size(F.filter(plain, lambda p: kind(p["a"]) != kind(p["b"]))).cast("double")
+    return F.struct(x["n"].alias("n"), x["k"].alias("k"), F.size(plain).cast("double").alias("plain"), changes.alias("changes"), (x["k"] / x["n"] * x["squares"] - x["n"]).alias("chi"), high.alias("high"), runs.alias("runs"),
                     spread.alias("spread"), lagged.alias("lagged"), x["start"].alias("start"), x["rank"].alias("rank"), x["stop"].alias("stop"))
 
 
@@ -108,6 +114,9 @@ def _p_values(x: Column) -> Column:
     n, df = x["n"], x["k"] - 1
     shift = n * EXCESS
     p_text = _normal_cdf((x["chi"] - df - shift) / F.sqrt(2 * (df + 2 * shift)))
+    spread = F.sqrt(F.greatest(x["plain"], F.lit(1.0)) * CHANGES * (1 - CHANGES))
+    p_change = 1 - _normal_cdf((x["changes"] - 0.5 - x["plain"] * CHANGES) / spread)
+    p_none = F.least(F.lit(1.0), 2 * F.least(p_text, p_change))
     cube = F.pow(F.greatest(x["chi"], F.lit(0.0)) / df, F.lit(1 / 3))
     p_chi = 1 - _normal_cdf((cube - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
     expected = 2 * x["high"] * (n - x["high"]) / n + 1
@@ -115,7 +124,7 @@ def _p_values(x: Column) -> Column:
     p_runs = F.when(variance > 0, 2 * _normal_cdf(-F.abs((x["runs"] - expected) / F.sqrt(F.when(variance > 0, variance).otherwise(1.0))))).otherwise(0.0)
     r1 = F.when(x["spread"] > 0, x["lagged"] / F.when(x["spread"] > 0, x["spread"]).otherwise(1.0)).otherwise(1.0)
     p_serial = 2 * _normal_cdf(-F.abs((r1 + 1 / n) * F.sqrt(n)))
-    return F.struct(n.alias("n"), p_text.alias("p"), (3 * F.least(p_chi, p_runs, p_serial)).alias("noise"), x["start"].alias("start"), x["rank"].alias("rank"), x["stop"].alias("stop"))
+    return F.struct(n.alias("n"), p_none.alias("p"), (3 * F.least(p_chi, p_runs, p_serial)).alias("noise"), x["start"].alias("start"), x["rank"].alias("rank"), x["stop"].alias("stop"))
 
 
 def _joined(spans: Column) -> Column:
