@@ -10,6 +10,7 @@ scores.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,7 +147,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_buckets: int = BUCKETS) -> Mode
         apart[:] = False
     train = [x for x, a in zip(rows, apart, strict=True) if not a]
     ratios = log_count_ratios(train, y[~apart], n_buckets)
-    values = [ratios[x] / max(1e-12, (ratios[x] ** 2).sum()) ** POWER for x in train]
+    ends = np.cumsum([len(x) for x in train])
+    flat = np.empty(int(ends[-1]))  # in one piece, which the system gets back as a whole
+    values = np.split(flat, ends[:-1])
+    for x, v in zip(train, values, strict=True):
+        v[:] = ratios[x]
+        v /= max(1e-12, (v**2).sum()) ** POWER
     w = dual_coordinate_descent(train, values, y[~apart], n_buckets)
     model = Model(ratios, w, 1.0, 0.0)
     on = apart if apart.any() else ~apart
@@ -154,6 +160,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_buckets: int = BUCKETS) -> Mode
     return model
 
 
+def listed(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column of numbers, where they lie."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
+def short_key(row: np.ndarray) -> tuple[bytes, bytes]:
+    """To sort rows by: their first buckets, then a digest of all."""
+    return row[:64].astype(np.int64).tobytes(), hashlib.sha256(row.tobytes()).digest()
+
+
 def _features(chosen: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [x.astype(np.int32) for x in indicator_rows(*flat_utf8(batch.column(0)))]
@@ -171,11 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """
     chosen = sampled(docs, labels, label, max_rows, max_bytes)
     found = _features(chosen).toArrow()
-    rows = [np.asarray(x.values, np.int64) for x in found.column("x")]
-    y = np.array(found.column("y").to_pylist(), int)
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))  # no matter how rows arrive
+    rows, y = listed(found.column("x")), found.column("y").to_numpy().astype(int)
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), short_key(rows[i]), y[i]))  # no matter how rows arrive
     order = [order[i] for i in np.random.default_rng(1).permutation(len(order))]
-    return fit([rows[i] for i in order], y[order])
+    model = fit([rows[i] for i in order], y[order])
+    del rows, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
